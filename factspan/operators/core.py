@@ -12,7 +12,9 @@ LOC = ["path", "line", "column", "end_line", "end_column"]
 
 
 def _cols(items) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in items]
+    """Columns of order or group keys; a leading '-' means descending."""
+    named = lambda c: F.col(c[1:]).desc() if c.startswith("-") else F.col(c)
+    return [named(c) if isinstance(c, str) else c for c in items]
 
 
 def all_of(conditions) -> Column:
@@ -50,19 +52,44 @@ def dedupe_first(df: DataFrame, keys, order) -> DataFrame:
     return top_per_group(df, keys, order, 1, "__first").drop("__first")
 
 
-def number_rows(df: DataFrame, keys: list[str], order: str, name: str = "place") -> DataFrame:
-    """1-based place of every row in its group by a unique order column, for groups of any size.
+def running_total(df: DataFrame, keys: list[str], order: str, weight: Column, name: str) -> DataFrame:
+    """Running sum of a weight in a group's order, for groups of any size. ``order`` is unique within a group.
 
     Rows are range-partitioned by (keys, order), so a hot group spans many tasks; the partition numbers are pinned
-    by a checkpoint, rows are numbered inside each part, and the parts' offsets are a small table joined back.
+    by a checkpoint, sums run inside each part, and the parts' offsets are a small table joined back.
     """
-    parts = cut_lineage(df.repartitionByRange(*keys, order).withColumn("__part", F.spark_partition_id()))
-    sizes = parts.groupBy(*keys, "__part").agg(F.count("*").alias("__size"))
+    ranged = df.withColumn("__w", weight.cast("long")).repartitionByRange(*keys, order)
+    parts = cut_lineage(ranged.withColumn("__part", F.spark_partition_id()))
+    sizes = parts.groupBy(*keys, "__part").agg(F.sum("__w").alias("__sum"))
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("__offset", F.coalesce(F.sum("__size").over(before), F.lit(0))).drop("__size")
-    local = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(order))
-    placed = join_null_safe(parts.withColumn("__local", local), offsets, [*keys, "__part"])
-    return placed.withColumn(name, F.col("__offset") + F.col("__local")).drop("__part", "__local", "__offset")
+    offsets = sizes.select(*keys, "__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
+    inside = Window.partitionBy(*keys, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = parts.withColumn("__local", F.sum("__w").over(inside))
+    placed = join_null_safe(summed, offsets, [*keys, "__part"])
+    return placed.withColumn(name, F.col("__offset") + F.col("__local")).drop("__part", "__local", "__offset", "__w")
+
+
+def number_rows(df: DataFrame, keys: list[str], order: str, name: str = "place") -> DataFrame:
+    """1-based place of every row in its group, for groups of any size."""
+    return running_total(df, keys, order, F.lit(1), name)
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Nearest-rank quantiles: the least value whose share of rows at or below it reaches q.
+
+    Equal values are counted on the map side and the counts are summed along the order by :func:`running_total`,
+    so no group is gathered in one aggregation buffer.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    summed = running_total(counts, keys, value, F.col("__n"), "__upto")
+    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
+    joined = join_null_safe(summed, totals, keys) if keys else summed.withColumn("__one", F.lit(1)).join(
+        totals.withColumn("__one", F.lit(1)), "__one"
+    )
+    reached = lambda q: F.col("__upto") >= F.ceil(F.col("__total") * F.lit(q))
+    return joined.groupBy(*keys).agg(
+        *[F.min(F.when(reached(q), F.col(value))).alias(name) for name, q in quantiles.items()]
+    )
 
 
 def bounded_section(df: DataFrame, order, limit: int, group=()) -> DataFrame:

@@ -8,20 +8,23 @@ from ..session import cut_lineage
 from .core import LOC, top_per_group
 
 
-def closure(edges: DataFrame, seeds: DataFrame, src: str, dst: str, max_depth: int | None = None) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, src: str, dst: str, max_depth: int | None = None, keys=()) -> DataFrame:
     """Nodes reachable from each seed by src -> dst edges, with their least depth; seeds themselves left out.
 
-    ``seeds(target_id, node)``. One join per level; every level is written to the checkpoint folder, so a lost
-    executor costs one level at most and plans stay short.
+    ``seeds(target_id, node, *keys)``; edges with the same ``keys`` columns are followed for seeds of equal keys, so
+    several relations are walked in one loop. One join per level; every level is written to the checkpoint folder,
+    so a lost executor costs one level at most and plans stay short.
     """
-    steps = edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).distinct()
-    start = seeds.select("target_id", "node").distinct()
+    keys = list(keys)
+    state = ["target_id", *keys, "node"]
+    steps = edges.select(*keys, F.col(src).alias("node"), F.col(dst).alias("next")).distinct()
+    start = seeds.select(*state).distinct()
     frontier, seen, depth = start, start, 0
     levels = []
     while max_depth is None or depth < max_depth:
         depth += 1
-        reached = frontier.join(steps, "node").select("target_id", F.col("next").alias("node")).distinct()
-        fresh = cut_lineage(reached.join(seen, ["target_id", "node"], "left_anti"))
+        reached = frontier.join(steps, [*keys, "node"]).select("target_id", *keys, F.col("next").alias("node")).distinct()
+        fresh = cut_lineage(reached.join(seen, state, "left_anti"))
         if fresh.isEmpty():
             break
         levels.append(fresh.withColumn("depth", F.lit(depth)))
@@ -35,31 +38,45 @@ def closure(edges: DataFrame, seeds: DataFrame, src: str, dst: str, max_depth: i
     return result
 
 
+def walk_relations(seeds: DataFrame, type_edges: DataFrame, relations: dict[str, tuple[list[str], bool]]) -> DataFrame:
+    """Closures over several edge kinds and directions at once: relation -> (edge kinds, upwards)."""
+    kinds = F.array(*[F.struct(F.lit(r).alias("relation"), F.lit(k).alias("edge_kind"), F.lit(up).alias("up"))
+                      for r, (of, up) in relations.items() for k in of])
+    table = F.filter(kinds, lambda s: s["edge_kind"] == F.col("edge_kind"))
+    edges = type_edges.select("child_id", "parent_id", F.explode(table).alias("s"))
+    edges = edges.select(
+        F.col("s.relation").alias("relation"),
+        F.when(F.col("s.up"), F.col("child_id")).otherwise(F.col("parent_id")).alias("src"),
+        F.when(F.col("s.up"), F.col("parent_id")).otherwise(F.col("child_id")).alias("dst"),
+    )
+    if "relation" not in seeds.columns:
+        seeds = seeds.withColumn("relation", F.explode(F.array(*[F.lit(r) for r in relations])))
+    return closure(edges, seeds, "src", "dst", keys=["relation"])
+
+
+# Relation -> (edge kinds followed, upwards). A type implements an interface through its base types and
+# through interfaces that extend it.
+HIERARCHY = {
+    "base-type": (["base"], True),
+    "derived-type": (["base"], False),
+    "implementing-type": (["base", "interface"], False),
+    "base-member": (["override"], True),
+    "overriding-member": (["override"], False),
+    "implemented-member": (["implements"], False),
+}
+
+
 def type_hierarchy(targets: DataFrame, type_edges: DataFrame) -> DataFrame:
     """(target, relation, symbol, depth) rows for the seven relations of a type or member."""
     seeds = targets.select("target_id", F.col("symbol_id").alias("node"))
-    of_kind = {k: type_edges.filter(F.col("edge_kind") == k) for k in ("base", "interface", "override", "implements")}
-
-    def rows(found: DataFrame, relation: str) -> DataFrame:
-        return found.select("target_id", F.lit(relation).alias("relation"), F.col("node").alias("symbol_id"), "depth")
-
-    # A type implements an interface through its base types and through interfaces that extend it.
-    interfaces = of_kind["interface"].select(F.col("parent_id").alias("node")).distinct()
-    interface_seeds = seeds.join(interfaces, "node", "left_semi").select("target_id", "node")
-    inherits = of_kind["base"].unionByName(of_kind["interface"])
-    parts = [
-        rows(closure(of_kind["base"], seeds, "child_id", "parent_id"), "base-type"),
-        rows(closure(of_kind["interface"], seeds, "child_id", "parent_id", 1), "interface"),
-        rows(closure(of_kind["base"], seeds, "parent_id", "child_id"), "derived-type"),
-        rows(closure(inherits, interface_seeds, "parent_id", "child_id"), "implementing-type"),
-        rows(closure(of_kind["override"], seeds, "child_id", "parent_id"), "base-member"),
-        rows(closure(of_kind["override"], seeds, "parent_id", "child_id"), "overriding-member"),
-        rows(closure(of_kind["implements"], seeds, "parent_id", "child_id"), "implemented-member"),
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    direct = type_edges.filter(F.col("edge_kind") == "interface").select(F.col("child_id").alias("node"), "parent_id").distinct()
+    interfaces = direct.select(F.col("parent_id").alias("node"), F.lit("implementing-type").alias("relation")).distinct()
+    others = [F.lit(r) for r in HIERARCHY if r != "implementing-type"]
+    walked = seeds.withColumn("relation", F.explode(F.array(*others))).unionByName(seeds.join(interfaces, "node"))
+    found = walk_relations(walked, type_edges, HIERARCHY).select("target_id", "relation", F.col("node").alias("symbol_id"), "depth")
+    own = seeds.join(direct, "node").filter(F.col("node") != F.col("parent_id"))
+    own = own.select("target_id", F.lit("interface").alias("relation"), F.col("parent_id").alias("symbol_id"), F.lit(1).alias("depth"))
+    return found.unionByName(own)
 
 
 def implementations_of(targets: DataFrame, type_edges: DataFrame) -> DataFrame:
@@ -76,18 +93,11 @@ def implementations_of(targets: DataFrame, type_edges: DataFrame) -> DataFrame:
 
 def related_members(targets: DataFrame, type_edges: DataFrame) -> DataFrame:
     """Each target with the members it overrides or implements and those that override or implement it."""
-    overrides = type_edges.filter(F.col("edge_kind") == "override")
-    implements = type_edges.filter(F.col("edge_kind") == "implements")
     seeds = targets.select("target_id", F.col("symbol_id").alias("node"))
-    found = [
-        closure(overrides, seeds, "child_id", "parent_id"),
-        closure(implements, seeds, "child_id", "parent_id", 1),
-        closure(overrides.unionByName(implements), seeds, "parent_id", "child_id"),
-    ]
-    result = seeds
-    for part in found:
-        result = result.unionByName(part.select("target_id", "node"))
-    return result.distinct()
+    walked = walk_relations(seeds, type_edges, {"up": (["override"], True), "down": (["override", "implements"], False)})
+    implemented = type_edges.filter(F.col("edge_kind") == "implements").select(F.col("child_id").alias("node"), "parent_id")
+    direct = seeds.join(implemented, "node").select("target_id", F.col("parent_id").alias("node"))
+    return seeds.unionByName(walked.select("target_id", "node")).unionByName(direct).distinct()
 
 
 def callers_of(targets: DataFrame, call_edges: DataFrame, type_edges: DataFrame | None = None) -> DataFrame:

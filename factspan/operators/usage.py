@@ -87,7 +87,7 @@ def evidence_files(evidence: DataFrame, priority: list[str], keys=("target_id",)
     The distinct locations stay rows: see :func:`evidence_locations`.
     """
     keys = list(keys)
-    bit = F.shiftleft(F.lit(1), rank_of("reason", priority))
+    bit = F.call_function("shiftleft", F.lit(1), rank_of("reason", priority))
     located = evidence.withColumn("__bit", bit).groupBy(*keys, *LOC).agg(
         F.bit_or("__bit").alias("bits"), F.bool_or("direct").alias("direct")
     )
