@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import lookup, relations, spans  # noqa: F401
+from . import lookup, relations, services, snapshots, spans, texts  # noqa: F401

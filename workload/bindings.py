@@ -99,7 +99,7 @@ VIEWS["f_spans"] = """
 VIEWS["f_diags"] = """
   SELECT concat('App', CAST(user_id % 7 AS VARCHAR(20))) AS project,
          CASE WHEN value < 5 THEN 'Error' WHEN value < 20 THEN 'Warning' ELSE 'Info' END AS severity,
-         concat('CS', CAST(event_id % 13 AS VARCHAR(20))) AS id, event_type AS message,
+         concat('CS', CAST(CAST(floor(value * 10) AS INT) AS VARCHAR(20))) AS id, event_type AS message,
          CASE WHEN event_id % 9 = 0 THEN NULL ELSE path END AS path,
          CASE WHEN event_id % 9 = 0 THEN NULL ELSE line END AS line, column_no,
          CASE WHEN event_id % 9 = 0 THEN NULL WHEN event_id % 4 = 0 THEN NULL ELSE CAST(line + event_id % 45 AS INT) END AS end_line,

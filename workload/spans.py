@@ -72,7 +72,7 @@ def _(f):
 
 
 AT = """
-asked AS (SELECT concat('p', CAST(event_id AS VARCHAR)) AS target_id, path, line AS at_line, CASE WHEN event_type = 'login' OR event_type = 'signup' THEN concat('CS', CAST(event_id % 20 AS VARCHAR)) END AS diagnostic_id FROM f_points WHERE event_type <> 'click'),
+asked AS (SELECT concat('p', CAST(event_id AS VARCHAR)) AS target_id, path, line AS at_line, CASE WHEN event_type = 'login' OR event_type = 'signup' THEN concat('CS', CAST(CAST(floor(value * 10) AS INT) + 1 AS VARCHAR)) END AS diagnostic_id FROM f_points WHERE event_type <> 'click'),
 located AS (SELECT target_id, d.* FROM asked a JOIN f_diags d ON d.id = a.diagnostic_id WHERE diagnostic_id IS NOT NULL
   UNION ALL SELECT target_id, d.* FROM asked a JOIN f_diags d ON d.path = a.path AND a.at_line BETWEEN d.line AND coalesce(d.end_line, d.line) WHERE diagnostic_id IS NULL)"""
 
@@ -80,7 +80,7 @@ located AS (SELECT target_id, d.* FROM asked a JOIN f_diags d ON d.id = a.diagno
 def _asked(f):
     return f.sql(
         "SELECT concat('p', CAST(event_id AS STRING)) AS target_id, path, line AS at_line, CASE WHEN event_type = 'login' OR event_type = 'signup' "
-        "THEN concat('CS', CAST(event_id % 20 AS STRING)) END AS diagnostic_id FROM f_points WHERE event_type <> 'click'"
+        "THEN concat('CS', CAST(CAST(floor(value * 10) AS INT) + 1 AS STRING)) END AS diagnostic_id FROM f_points WHERE event_type <> 'click'"
     )
 
 
@@ -124,9 +124,9 @@ def _(f):
 
 
 @query("filter_diagnostics", "event_id i, severity s, id s", """
-SELECT event_id, severity, id FROM f_diags WHERE severity IN ('Error', 'Warning') AND id IN ('CS1', 'CS2', 'CS7')""")
+SELECT event_id, severity, id FROM f_diags WHERE severity IN ('Error', 'Warning') AND id IN ('CS1', 'CS2', 'CS7', 'CS40')""")
 def _(f):
-    return filters.filter_diagnostics(f.f_diags, ["Error", "Warning"], ["CS1", "CS2", "CS7"])
+    return filters.filter_diagnostics(f.f_diags, ["Error", "Warning"], ["CS1", "CS2", "CS7", "CS40"])
 
 
 RANGES = """
