@@ -48,7 +48,8 @@ def _controllers(types: DataFrame, type_edges: DataFrame) -> DataFrame:
 
 def _actions(types: DataFrame, methods: DataFrame, type_edges: DataFrame) -> DataFrame:
     """Public instance methods of classes, not marked as no action, with their type's facts."""
-    joined = methods.join(_controllers(types, type_edges).drop("project"), "type_id")
+    owners = _controllers(types, type_edges).select("type_id", "type_name", "type_attributes", "is_controller")
+    joined = methods.join(owners, "type_id")
     return joined.filter(
         (F.col("accessibility") == "Public") & ~F.col("is_static") & ~_named("attributes", "NonAction")
     )

@@ -231,13 +231,13 @@ routes AS (
   SELECT 'controller-action' AS endpoint_kind, [coalesce(verb, 'ANY')] AS http_methods, CASE WHEN troute IS NULL THEN mroute WHEN mroute IS NULL THEN troute ELSE concat(rtrim(troute, '/'), '/', ltrim(mroute, '/')) END AS pattern, method_id AS handler_id,
     CASE WHEN k % 19 = 0 THEN 'anonymous' WHEN k % 23 = 0 OR tauth THEN 'required' ELSE 'unknown' END AS auth_kind,
     CASE WHEN k % 19 = 0 THEN [] ELSE list_filter([CASE WHEN k % 23 = 0 THEN 'Read' END, CASE WHEN tauth THEN 'Admin' END], lambda x: x IS NOT NULL) END AS policies,
-    CASE WHEN verb IS NOT NULL OR mroute IS NOT NULL THEN 'high' ELSE 'medium' END AS confidence, path, line, 1 AS col
+    CASE WHEN verb IS NOT NULL OR mroute IS NOT NULL THEN 'high' ELSE 'medium' END AS confidence, path, line, 1 AS col, project
   FROM act WHERE is_controller AND (verb IS NOT NULL OR mroute IS NOT NULL OR troute IS NOT NULL OR ends_with(type_name, 'Controller'))
   UNION ALL SELECT 'minimal-api', CASE method_name WHEN 'MapGet' THEN ['GET'] WHEN 'MapFallback' THEN ['ANY'] ELSE CASE WHEN ok % 3 = 0 THEN ['PUT', 'GET'] ELSE ['ANY'] END END,
     CASE WHEN ok % 5 <> 0 THEN concat('x//', CAST(sk AS VARCHAR)) END, concat('H', CAST(sk AS VARCHAR)), CASE WHEN ok % 8 = 0 THEN 'anonymous' WHEN ok % 4 = 0 THEN 'required' ELSE 'unknown' END, [],
-    CASE WHEN ok % 5 = 0 THEN 'medium' ELSE 'high' END, path, line, column_no FROM calls WHERE method_name IN ('MapGet', 'MapMethods', 'MapFallback') AND ok % 11 <> 0),
+    CASE WHEN ok % 5 = 0 THEN 'medium' ELSE 'high' END, path, line, column_no, project FROM calls WHERE method_name IN ('MapGet', 'MapMethods', 'MapFallback') AND ok % 11 <> 0),
 uroutes AS (SELECT endpoint_kind, http_methods, pattern, CASE WHEN trim(coalesce(pattern, '')) <> '' THEN regexp_replace(concat('/', trim(pattern)), '/+', '/', 'g') END AS normalized_pattern, handler_id, auth_kind, policies, confidence, path, line, col,
-  row_number() OVER (PARTITION BY endpoint_kind, path, line, col, regexp_replace(concat('/', pattern), '/+', '/', 'g'), http_methods ORDER BY handler_id, confidence) AS rn FROM routes)"""
+  row_number() OVER (PARTITION BY endpoint_kind, project, path, line, col, regexp_replace(concat('/', pattern), '/+', '/', 'g'), http_methods ORDER BY handler_id, confidence) AS rn FROM routes)"""
 
 
 def routes(f):
@@ -416,7 +416,7 @@ hints AS (SELECT DISTINCT target_id, coalesce(hint, concat(split_part(package, '
 uses AS (SELECT concat(CASE WHEN p_partkey % 3 = 0 THEN 'Root.' ELSE '' END, p_type, '.', p_brand, '.', split_part(p_name, ' ', 1)) AS namespace, CAST(p_partkey AS INT) AS line FROM part),
 matched AS (SELECT DISTINCT target_id, namespace, confidence, reason FROM hints JOIN (SELECT DISTINCT namespace FROM uses) u ON starts_with(namespace, hint) OR contains(namespace, concat('.', hint, '.')))
 SELECT_RESULT
-SELECT DISTINCT target_id, 'package-reference' AS usage_kind, package AS namespace, 'high' AS confidence, 'package-reference' AS reason, CAST(NULL AS INT) AS line FROM asked
+SELECT DISTINCT target_id, 'package-reference' AS usage_kind, upper(package) AS namespace, 'high' AS confidence, 'package-reference' AS reason, CAST(NULL AS INT) AS line FROM asked
 UNION ALL SELECT target_id, 'using-directive', m.namespace, confidence, reason, line FROM matched m JOIN uses u ON u.namespace = m.namespace""")
 def _(f):
     asked = f.sql("SELECT DISTINCT p_brand AS target_id, concat(p_type, '.', p_brand, '.Core') AS package, CASE WHEN p_size % 2 = 0 THEN concat(substr(p_type, 1, 4)) END AS hint FROM part WHERE p_size < 3")
@@ -425,9 +425,7 @@ def _(f):
         "SELECT 'using-directive' AS usage_kind, concat(CASE WHEN p_partkey % 3 = 0 THEN 'Root.' ELSE '' END, p_type, '.', p_brand, '.', split_part(p_name, ' ', 1)) AS namespace, 'App' AS project, 'p' AS path, "
         "CAST(p_partkey AS INT) AS line, 1 AS column_no, 1 AS end_line, 1 AS end_column FROM part"
     )
-    return domains.package_usage(asked, refs.withColumn("name", F.upper("name")), uses).withColumn(
-        "namespace", F.when(F.col("usage_kind") == "package-reference", F.col("namespace")).otherwise(F.col("namespace"))
-    )
+    return domains.package_usage(asked, refs.withColumn("name", F.upper("name")), uses)
 
 
 @query("symbol_text_filter", "symbol_id s, container s, fqn s", """
