@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.paths import is_source_path
 from .core import LOC, all_of, dedupe_first, top_per_group
 
 LEVELS = 8  # widths 16^0 .. 16^7 cover every 32-bit line number
@@ -124,11 +125,12 @@ def changed_symbol_rows(hits: DataFrame, line_limit: int = 25) -> DataFrame:
 
 
 def unresolved_changes(diff_files: DataFrame, hunks: DataFrame, documents: DataFrame, hits: DataFrame) -> DataFrame:
-    """Changed files without a symbol hit, and why."""
+    """Changed source files without a symbol hit, and why."""
     key = ["change_id", "path"]
     live = hunks.filter(F.col("new_count") > 0).select(*key).distinct().withColumn("__live", F.lit(True))
     known = documents.select("path").distinct().withColumn("__known", F.lit(True))
-    missing = diff_files.join(hits.select(*key).distinct(), key, "left_anti")
+    sources = diff_files.filter(is_source_path("path"))
+    missing = sources.join(hits.select(*key).distinct(), key, "left_anti")
     gone = (F.col("status") == "deleted") | F.col("__live").isNull()
     reason = (
         F.when(gone, "deleted-or-not-in-current-workspace")
@@ -160,23 +162,23 @@ def diagnostics_at(points: DataFrame, diags: DataFrame, keys=("path",)) -> DataF
     return hits.unionByName(located)
 
 
-def representative(diags: DataFrame, order=("path", "line", "column", "end_line", "end_column", "severity", "id", "message")) -> DataFrame:
-    """Per target the first diagnostic, those with a full location before the others."""
-    full = all_of(F.col(c).isNotNull() for c in LOC)
-    return dedupe_first(diags.withColumn("__full", ~full), ["target_id"], ["__full", *order]).drop("__full")
+def representative(diags: DataFrame) -> DataFrame:
+    """Per target the first diagnostic that has a place."""
+    placed = diags.filter(all_of(F.col(c).isNotNull() for c in ("path", "line", "column")))
+    return dedupe_first(placed, ["target_id"], ["path", "line", "column", "project", "id", "severity", "message"])
 
 
-def diagnostics_in_scope(diags: DataFrame, scope_paths: DataFrame, documents: DataFrame) -> DataFrame:
-    """Diagnostics on scoped paths, and path-less ones of a project that has a scoped document."""
-    scope = scope_paths.select("path").distinct()
-    on_path = diags.join(scope, "path", "left_semi").withColumn("reason", F.lit("diagnostic-in-diff-scope"))
-    touched = documents.join(scope, "path", "left_semi").select("project").distinct()
-    of_project = (
-        diags.filter(F.col("path").isNull())
-        .join(touched, "project", "left_semi")
-        .withColumn("reason", F.lit("project-diagnostic-in-touched-project"))
+def diagnostics_in_scope(diags: DataFrame, scope_paths: DataFrame, documents: DataFrame, keys=()) -> DataFrame:
+    """Diagnostics on scoped paths, and path-less ones of a project that has a scoped document; per ``keys`` of the scope."""
+    keys = list(keys)
+    scope = scope_paths.select(*keys, "path").distinct()
+    on_path = scope.join(diags, "path").withColumn("reason", F.lit("diagnostic-in-diff-scope"))
+    touched = scope.join(documents.select("project", "path").distinct(), "path").select(*keys, "project").distinct()
+    of_project = touched.join(diags.filter(F.col("path").isNull()), "project").withColumn(
+        "reason", F.lit("project-diagnostic-in-touched-project")
     )
-    return on_path.select(*diags.columns, "reason").unionByName(of_project.select(*diags.columns, "reason"))
+    columns = [*keys, *diags.columns, "reason"]
+    return on_path.select(*columns).unionByName(of_project.select(*columns))
 
 
 def diagnostics_for_context(diags: DataFrame, *paths: DataFrame) -> DataFrame:

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import lookup, projects, relations, reviews, services, snapshots, spans, texts  # noqa: F401
+from . import lookup, projects, relations, reviews, services, snapshots, spans, texts, workflows  # noqa: F401

@@ -82,7 +82,7 @@ VIEWS["f_asked"] = "SELECT concat('t', CAST(p_partkey AS VARCHAR(20))) AS target
 
 # Spans and points: events of a user and day; spans are the extents of whole days, quarters of a day and hours.
 VIEWS["f_points"] = """
-  SELECT event_id, concat('u', CAST(user_id AS VARCHAR(20)), '/', CAST(CAST(ts AS DATE) AS VARCHAR(20))) AS path,
+  SELECT event_id, concat('u', CAST(user_id AS VARCHAR(20)), '/', CAST(CAST(ts AS DATE) AS VARCHAR(20)), '.cs') AS path,
          CAST(hour(ts) * 60 + minute(ts) AS INT) AS line, CAST(second(ts) + 1 AS INT) AS column_no, event_type, value, user_id
   FROM events
 """
@@ -117,6 +117,26 @@ VIEWS["f_files"] = """
   FROM f_hunks GROUP BY change_id, path
 """
 
+# Uses between the spans: views refer to, and clicks call, the day of another user; hours implement quarters.
+VIEWS["f_span_refs"] = """
+  SELECT concat('u', CAST((user_id * 3 + 1) % 150 AS VARCHAR(20)), '/', split_part(path, '/', 2), '#d0') AS target_symbol_id, 'read' AS usage_kind, 'App' AS project,
+         path, line, column_no, line AS end_line, CAST(column_no + 4 AS INT) AS end_column
+  FROM f_points WHERE event_type = 'view'
+"""
+VIEWS["f_span_calls"] = """
+  SELECT concat(path, '#h', CAST(CAST(floor(line / 60) AS INT) AS VARCHAR(20))) AS caller_id, concat('u', CAST((user_id * 3 + 1) % 150 AS VARCHAR(20)), '/', split_part(path, '/', 2), '#d0') AS callee_id,
+         path, line, column_no, line AS end_line, CAST(column_no + 4 AS INT) AS end_column
+  FROM f_points WHERE event_type = 'click'
+"""
+VIEWS["f_span_types"] = """
+  SELECT symbol_id AS child_id, concat(path, '#q', CAST(CAST(floor(line / 360) AS INT) AS VARCHAR(20))) AS parent_id, 'implements' AS edge_kind FROM f_spans WHERE kind = 'Property'
+"""
+VIEWS["f_span_decls"] = """
+  SELECT symbol_id, path, kind, symbol_id AS name, path AS container, symbol_id AS fqn, line, 1 AS column_no, end_line, 1 AS end_column,
+         CASE kind WHEN 'NamedType' THEN 'Public' WHEN 'Method' THEN 'Internal' ELSE 'Protected' END AS accessibility, symbol_id AS doc_id, 'App' AS project
+  FROM f_spans
+"""
+
 # API snapshots: orders; the head has some gone, some new, some with another id and some with changed facets.
 VIEWS["f_base"] = """
   SELECT concat('M:', CAST(o_custkey AS VARCHAR(20)), '.', o_orderpriority, '(', CAST(o_orderkey AS VARCHAR(20)), ')') AS doc_id,

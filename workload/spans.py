@@ -93,8 +93,7 @@ def _(f):
 
 
 @query("representative_diagnostic", "target_id s, path s, line i, id s, severity s, message s", f"""
-WITH {AT}, placed AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY CASE WHEN path IS NULL OR line IS NULL OR end_line IS NULL THEN 1 ELSE 0 END,
-  path NULLS FIRST, line NULLS FIRST, column_no, end_line NULLS FIRST, end_column, severity, id, message) AS rn FROM located)
+WITH {AT}, placed AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY path, line, column_no, project, id, severity, message) AS rn FROM located WHERE path IS NOT NULL)
 SELECT_RESULT
 SELECT target_id, path, line, id, severity, message FROM placed WHERE rn = 1""")
 def _(f):
