@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.paths import is_generated_path, is_source_path
 from ..operators import filters, graph, impact, review, spans, usage
 from ..operators.core import LOC, bounded_section
+from ..session import cut_lineage
 from ..sources import diffs
 
 
@@ -19,10 +20,11 @@ def changed_symbols(
         keep = keep & ~is_generated_path("path")
     diff_files = diff_files.filter(keep)
     live = hunks.join(diff_files.filter(F.col("status") != "deleted").select("change_id", "path"), ["change_id", "path"], "left_semi")
-    hits = spans.changed_declarations(live, decls)
+    # Many later steps start from the hits: they are written once.
+    hits = cut_lineage(spans.changed_declarations(live, decls))
     rows = spans.changed_symbol_rows(hits)
     return {
-        "symbols": rows.join(decls.drop("path"), "symbol_id"),
+        "symbols": cut_lineage(rows.join(decls.drop("path"), "symbol_id")),
         "unresolved": spans.unresolved_changes(diff_files, hunks, documents, hits),
     }
 
@@ -47,7 +49,7 @@ def impact_evidence(changed: DataFrame, decls: DataFrame, references: DataFrame,
         found = df.select("target_id", F.col(other).alias("symbol_id")).distinct().join(places, "symbol_id")
         return usage.file_evidence(found, reason, False)
 
-    callers = graph.callers_of(symbols, call_edges, type_edges)
+    callers = cut_lineage(graph.callers_of(symbols, call_edges, type_edges))
     evidence = usage.file_evidence(symbols.join(places, "symbol_id"), "contains-changed-symbol", True)
     evidence = evidence.unionByName(usage.file_evidence(usage.references_of(symbols, references), "references-changed-symbol", True))
     evidence = evidence.unionByName(located(callers, "caller_id", "caller-of-changed-symbol"))
@@ -78,8 +80,8 @@ def review_diff(
     symbols = changed["symbols"]
     found = impact_evidence(symbols, decls, references, call_edges, type_edges)
     files = usage.affected_files(found["evidence"])
-    affected = symbols.select("change_id", F.col("symbol_id").alias("target_id")).distinct().join(files, "target_id")
-    in_scope = diagnostics_diff(diff_files, affected, diags, documents)
+    affected = cut_lineage(symbols.select("change_id", F.col("symbol_id").alias("target_id")).distinct().join(files, "target_id"))
+    in_scope = cut_lineage(diagnostics_diff(diff_files, affected, diags, documents))
     public = filters.public_contract_changes(symbols)
     calls = found["callers"].select(
         F.col("target_id").alias("symbol_id"), F.col("path").alias("call_path"), F.col("line").alias("call_line"), F.col("column").alias("call_column")

@@ -9,6 +9,7 @@ from ..functions.paths import lines_of
 from ..operators import budget, evals, graph, impact, spans, usage
 from ..operators.core import LOC, top_per_group
 from ..operators.graph import callers_of, calls_of
+from ..session import cut_lineage
 from . import lookup
 
 
@@ -30,7 +31,7 @@ def query_items(
     none = F.lit(None).cast("string")
     members = impact.members_of(placed.filter(F.col("kind") == "NamedType"), decls)
     members = top_per_group(members, ["target_id"], ["line", "column", "symbol_id"], relation_limit)
-    refs = top_per_group(usage.references_of(chosen, references), ["target_id"], LOC, reference_limit)
+    refs = cut_lineage(top_per_group(usage.references_of(chosen, references), ["target_id"], LOC, reference_limit))
     callable_ = placed.filter(F.col("kind").isin("Method", "Property", "Event")).select("target_id", "symbol_id")
 
     def heads(calls: DataFrame, other: str) -> DataFrame:
@@ -40,7 +41,7 @@ def query_items(
     callers = heads(callers_of(callable_, call_edges, type_edges), "caller_id")
     calls = heads(calls_of(callable_, call_edges), "callee_id")
     implementations = heads(graph.implementations_of(chosen, type_edges), "symbol_id")
-    files = lookup.related(chosen, decls, references, call_edges, type_edges, limit=file_limit)
+    files = cut_lineage(lookup.related(chosen, decls, references, call_edges, type_edges, limit=file_limit))
     scope = placed.select("target_id", "path")
     in_scope = spans.diagnostics_for_context(diags, scope, refs.select("target_id", "path"), files.select("target_id", "path"))
     items = _item(placed, "definition", "selected-symbol-definition", F.col("name"))
@@ -77,13 +78,13 @@ def context_pack(
 
     Only the first ``item_limit`` + 1 items of a pack can matter, so the text of those alone is fetched.
     """
-    ranked = budget.rank_context(items, goal, change_kind)
+    ranked = cut_lineage(budget.rank_context(items, goal, change_kind))
     head = top_per_group(ranked, ["pack_id"], budget.ITEM_ORDER, item_limit + 1).drop("position")
     lines = budget.snippets(head.filter(F.col("message").isNull() & F.col("path").isNotNull()), documents, context_lines).select("path", "line", "lines")
     filled = head.join(lines, ["path", "line"], "left").withColumn(
         "lines", F.when(F.col("message").isNotNull(), F.array("message")).otherwise(F.col("lines"))
     )
-    costed = budget.with_chars(filled)
+    costed = cut_lineage(budget.with_chars(filled))
     kept = budget.apply_budget(costed, budget_tokens, item_limit)
     totals = ranked.groupBy("pack_id").agg(F.count("*").alias("total_items"))
     summary = budget.budget_summary(costed, budget_tokens, item_limit, totals=totals)
@@ -97,7 +98,7 @@ def diagnostic_pack(
     if severities:
         diags = diags.filter(F.col("severity").isin(list(severities)))
     found = spans.diagnostics_at(points, diags)
-    first = spans.representative(found)
+    first = cut_lineage(spans.representative(found))
     kept = top_per_group(found, ["target_id"], ["path", "line", "column", "project", "id", "severity", "message"], limit)
     totals = found.groupBy("target_id").agg(F.count("*").alias("total"))
     scopes = spans.scope_stack(first.select("path", F.col("line").alias("at_line")), decls, payload=("symbol_id",))
@@ -122,14 +123,14 @@ def edit_preflight(
     Intent, hand-off and ledger outputs are selections of these tables.
     """
     found = lookup.find(targets, decls, min_confidence=min_confidence)
-    choice = found["choice"]
+    choice = cut_lineage(found["choice"])
     chosen = choice.filter("selected").select("target_id", "symbol_id")
     source = budget.source_slices(chosen, decls.withColumn("is_metadata", F.lit(False)), documents, 80, budget_tokens)
     items = query_items(chosen, decls, references, call_edges, type_edges, diags)
     pack = context_pack(items, documents, goal, change_kind, budget_tokens, item_limit)
     subjects = chosen.join(decls.select("symbol_id", "name", "kind", "container"), "symbol_id").withColumnRenamed("target_id", "subject_id")
     refs = usage.references_of(chosen, references).select(F.col("target_id").alias("subject_id"), "path")
-    related = impact.tests_for_subjects(impact.rank_tests(tests, subjects, refs), test_limit)
+    related = cut_lineage(impact.tests_for_subjects(impact.rank_tests(tests, subjects, refs), test_limit))
     status = source.groupBy("target_id").agg(F.min("status").alias("status"))
     context = pack["summary"].select(
         F.col("pack_id").alias("target_id"), F.col("included").alias("item_count"), F.col("omitted_reason").isNotNull().alias("truncated")
