@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import domains, filters, injection
 from ..operators.core import LOC, bounded_section
+from ..session import cut_lineage
 
 
 def di_graph(invocations: DataFrame, ctor_params: DataFrame, limit: int = 200, include_risks: bool = True) -> dict[str, DataFrame]:
     """Registrations, constructor dependencies and risks, each bounded."""
-    registrations = injection.di_registrations(invocations)
-    dependencies = injection.di_dependencies(registrations, ctor_params)
+    registrations = cut_lineage(injection.di_registrations(invocations))
+    dependencies = cut_lineage(injection.di_dependencies(registrations, ctor_params))
     result = {
         "registrations": bounded_section(registrations, [*injection.REGISTRATION_ORDER, "registration_kind"], limit),
         "dependencies": bounded_section(dependencies, injection.DEPENDENCY_ORDER, limit),

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from factspan.functions import names
 from factspan.operators import domains, filters, injection
 from factspan.plans import services as plans
+from factspan.session import cut_lineage
 
 from .registry import query
 
-NONE = "array().cast"
 REGS = """
 called AS (
   SELECT *, CASE WHEN contains(method_name, 'Singleton') THEN 'singleton' WHEN contains(method_name, 'Scoped') THEN 'scoped' WHEN contains(method_name, 'Transient') THEN 'transient' ELSE 'unknown' END AS lt FROM f_regs),
@@ -96,7 +96,8 @@ WITH {RISKS}
 SELECT_RESULT
 SELECT * FROM risks""")
 def _(f):
-    return injection.di_risks(regs(f), deps(f))
+    registrations = cut_lineage(regs(f))
+    return injection.di_risks(registrations, cut_lineage(injection.di_dependencies(registrations, ctors(f))))
 
 
 TYPES = "SELECT concat('q', CAST(s_suppkey AS {0})) AS target_id, concat('T', CAST(s_suppkey AS {0})) AS type_name FROM supplier"
@@ -118,7 +119,8 @@ UNION ALL SELECT target_id, 'dependency', dependency_type, parameter_name FROM t
 UNION ALL SELECT DISTINCT target_id, 'consumer', implementation_type, NULL FROM t JOIN deps ON dependency_type = type_name
 UNION ALL SELECT target_id, 'risk', risk_kind, coalesce(dependency_type, service_type) FROM t JOIN risks ON type_name IN (coalesce(service_type, ''), coalesce(implementation_type, ''), coalesce(dependency_type, ''))""")
 def _(f):
-    r, d = regs(f), deps(f)
+    r = cut_lineage(regs(f))
+    d = cut_lineage(injection.di_dependencies(r, ctors(f)))
     return injection.di_impact(f.sql(TYPES.format("STRING")), r, d, injection.di_risks(r, d))
 
 
