@@ -151,21 +151,47 @@ def diagnostics_in_span(targets: DataFrame, decls: DataFrame, diags: DataFrame,
     return pairs.select("target_id", *diags.columns).distinct()
 
 
-def diagnostics_at(points: DataFrame, diags: DataFrame, keys=("path",)) -> DataFrame:
-    """Diagnostics by id, or at a line inside the diagnostic; ``points`` has target_id and (diagnostic_id | keys, at_line)."""
-    keys = list(keys)
-    by_id = points.filter(F.col("diagnostic_id").isNotNull()).select("target_id", F.col("diagnostic_id").alias("id"))
-    hits = by_id.join(diags, "id").select("target_id", *diags.columns)
-    by_line = points.filter(F.col("diagnostic_id").isNull()).select("target_id", *keys, "at_line")
+DIAGNOSTIC_ORDER = ["path", "line", "column", "project", "id", "severity", "message"]
+
+
+def _questions(points: DataFrame, diags: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Points numbered by their question, and the diagnostics that answer each distinct question.
+
+    Many points may ask for one id or place: it is looked up once.
+    """
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in ("diagnostic_id", *keys, "at_line")]
+    by_id = F.col("diagnostic_id").isNotNull()
+    named = points.withColumn(
+        "question", F.when(by_id, F.concat(F.lit("id:"), "diagnostic_id")).otherwise(F.concat_ws("\u001f", *parts))
+    )
+    asked = named.select("question", "diagnostic_id", *keys, "at_line")
+    ids = asked.filter(by_id).select("question", F.col("diagnostic_id").alias("id")).distinct()
+    places = asked.filter(~by_id).select("question", *keys, "at_line").distinct()
     ranged = diags.filter(F.col("line").isNotNull()).withColumn("__end", F.coalesce("end_line", "line"))
-    located = stab(by_line, ranged, keys, "at_line", "line", "__end").select("target_id", *diags.columns)
-    return hits.unionByName(located)
+    hits = ids.join(diags, "id").select("question", *diags.columns)
+    located = stab(places, ranged, keys, "at_line", "line", "__end").select("question", *diags.columns)
+    return named.select("target_id", "question"), hits.unionByName(located)
+
+
+def diagnostics_at(points: DataFrame, diags: DataFrame, limit: int, keys=("path",)) -> DataFrame:
+    """First diagnostics by id, or at a line inside the diagnostic, with the total.
+
+    ``points`` has target_id and (diagnostic_id | keys, at_line).
+    """
+    asked, hits = _questions(points, diags, list(keys))
+    tie = [c for c in diags.columns if c not in DIAGNOSTIC_ORDER]
+    kept = top_per_group(hits, ["question"], [*DIAGNOSTIC_ORDER, *tie], limit)
+    totals = hits.groupBy("question").agg(F.count("*").alias("total"))
+    rows = kept.join(totals, "question").withColumn("truncated", F.col("total") > limit)
+    return asked.join(rows, "question").drop("question")
 
 
-def representative(diags: DataFrame) -> DataFrame:
-    """Per target the first diagnostic that has a place."""
+def representative(points: DataFrame, diags: DataFrame, keys=("path",)) -> DataFrame:
+    """Per target the first diagnostic at its id or place that has a place itself."""
     placed = diags.filter(all_of(F.col(c).isNotNull() for c in ("path", "line", "column")))
-    return dedupe_first(placed, ["target_id"], ["path", "line", "column", "project", "id", "severity", "message"])
+    asked, hits = _questions(points, placed, list(keys))
+    first = dedupe_first(hits, ["question"], DIAGNOSTIC_ORDER)
+    return asked.join(first, "question").drop("question")
 
 
 def diagnostics_in_scope(diags: DataFrame, scope_paths: DataFrame, documents: DataFrame, keys=()) -> DataFrame:
@@ -232,8 +258,12 @@ def symbol_at(points: DataFrame, identifiers: DataFrame, decls: DataFrame) -> Da
     )
     under = innermost(points, ids, ["path", "line"], "column", "__lo", "__hi", ["hit_symbol"], ["hit_symbol"])
     asked = points.join(under, ["path", "line", "column"], "left")
-    places = decls.select(F.col("symbol_id").alias("hit_symbol"), *[F.col(c).alias(f"def_{c}") for c in LOC])
-    joined = asked.join(places, "hit_symbol", "left").withColumn("__other", F.col("def_path") != F.col("path"))
-    best = dedupe_first(joined, ["target_id"], ["__other", *[f"def_{c}" for c in LOC]]).drop("__other")
+    # The best place is the symbol's first in the same file, else its first anywhere: two small tables, no pairs.
+    place = F.min(F.struct(*[F.col(c).alias(f"def_{c}") for c in LOC]))
+    named = decls.withColumnRenamed("symbol_id", "hit_symbol")
+    here = named.groupBy("hit_symbol", "path").agg(place.alias("here"))
+    anywhere = named.groupBy("hit_symbol").agg(place.alias("anywhere"))
+    best = asked.join(here, ["hit_symbol", "path"], "left").join(anywhere, "hit_symbol", "left")
     status = F.when(F.col("hit_symbol").isNull(), "not-found").otherwise("ok")
-    return best.withColumn("status", status)
+    best = best.withColumn("best", F.coalesce("here", "anywhere")).withColumn("status", status)
+    return best.select(*points.columns, "hit_symbol", "status", *[F.col(f"best.def_{c}").alias(f"def_{c}") for c in LOC])

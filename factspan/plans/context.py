@@ -97,16 +97,13 @@ def diagnostic_pack(
     """Diagnostics of each asked id or place, and for the representative one its scopes and source slice."""
     if severities:
         diags = diags.filter(F.col("severity").isin(list(severities)))
-    found = spans.diagnostics_at(points, diags)
-    first = cut_lineage(spans.representative(found))
-    kept = top_per_group(found, ["target_id"], ["path", "line", "column", "project", "id", "severity", "message"], limit)
-    totals = found.groupBy("target_id").agg(F.count("*").alias("total"))
+    first = cut_lineage(spans.representative(points, diags))
     scopes = spans.scope_stack(first.select("path", F.col("line").alias("at_line")), decls, payload=("symbol_id",))
     own = spans.enclosing_declaration(first.select("target_id", "path", "line"), decls)
     asked = own.filter(F.col("containing_symbol_id").isNotNull()).select("target_id", F.col("containing_symbol_id").alias("symbol_id"))
     slices = budget.source_slices(asked, decls.withColumn("is_metadata", F.lit(False)), documents, max_lines, budget_tokens)
     return {
-        "diagnostics": kept.join(totals, "target_id").withColumn("truncated", F.col("total") > limit),
+        "diagnostics": spans.diagnostics_at(points, diags, limit),
         "representative": first,
         "scopes": first.select("target_id", "path", F.col("line").alias("at_line")).join(scopes, ["path", "at_line"]),
         "slices": slices,

@@ -154,9 +154,9 @@ CHANGED = (
 
 
 @query("match_scores", "anchor_id s, symbol_id s, score d", f"""
-WITH {GUARD}
+WITH {GUARD}, best AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, cp NULLS FIRST, cl, symbol_id) AS rn FROM scored)
 SELECT_RESULT
-SELECT anchor_id, symbol_id, score FROM scored""")
+SELECT anchor_id, symbol_id, score FROM best WHERE rn = 1""")
 def _(f):
     return impact.match_score(f.sql(ANCHORS), f.sql(CHANGED))
 

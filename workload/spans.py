@@ -84,12 +84,12 @@ def _asked(f):
     )
 
 
-@query("diagnostics_at", "target_id s, event_id i", f"""
-WITH {AT}
+@query("diagnostics_at", "target_id s, event_id i, position i, total i, truncated b", f"""
+WITH {AT}, placed AS (SELECT target_id, event_id, row_number() OVER (PARTITION BY target_id ORDER BY path NULLS FIRST, line NULLS FIRST, column_no, project, id, severity, message, end_line NULLS FIRST, end_column, event_id) AS position, count(*) OVER (PARTITION BY target_id) AS total FROM located)
 SELECT_RESULT
-SELECT target_id, event_id FROM located""")
+SELECT target_id, event_id, position, total, total > 5 AS truncated FROM placed WHERE position <= 5""")
 def _(f):
-    return spans.diagnostics_at(_asked(f), f.f_diags)
+    return spans.diagnostics_at(_asked(f), f.f_diags, 5)
 
 
 @query("representative_diagnostic", "target_id s, path s, line i, id s, severity s, message s", f"""
@@ -97,7 +97,7 @@ WITH {AT}, placed AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER
 SELECT_RESULT
 SELECT target_id, path, line, id, severity, message FROM placed WHERE rn = 1""")
 def _(f):
-    return spans.representative(spans.diagnostics_at(_asked(f), f.f_diags))
+    return spans.representative(_asked(f), f.f_diags)
 
 
 @query("diagnostics_scope", "change_id s, path s, reasons a", """

@@ -118,10 +118,9 @@ searched AS (SELECT * FROM kept WHERE position <= 30)"""
 
 
 def _scope(f):
-    asked = f.sql(TERMS.format(s="STRING"))
-    docs = f.f_docs.select("repo", "doc_key", "project", "text")
-    scoped = asked.select("target_id", "repo", "own").join(docs, "repo").withColumn("is_own", F.col("doc_key") == F.col("own"))
-    return asked, scoped.drop("own", "repo")
+    asked = f.sql(TERMS.format(s="STRING")).withColumnRenamed("own", "own_key")
+    docs = f.f_docs.select(F.col("repo").alias("scope_key"), "doc_key", "project", "text")
+    return asked.drop("repo"), asked.select("target_id", F.col("repo").alias("scope_key")), docs
 
 
 @query("lexical_prefilter", "target_id s, doc_key s, project s, is_own b, position i", f"""
