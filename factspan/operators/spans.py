@@ -207,12 +207,21 @@ def diagnostics_in_scope(diags: DataFrame, scope_paths: DataFrame, documents: Da
     return on_path.select(*columns).unionByName(of_project.select(*columns))
 
 
-def diagnostics_for_context(diags: DataFrame, *paths: DataFrame) -> DataFrame:
-    """Per target the diagnostics in the union of its definition, reference and related-file paths."""
+def diagnostics_for_context(diags: DataFrame, *paths: DataFrame, limit: int | None = None) -> DataFrame:
+    """Per target the diagnostics in the union of its definition, reference and related-file paths.
+
+    With a limit the first ones by place; a crowded file is cut to as many before it meets the targets.
+    """
     scope = paths[0].select("target_id", "path")
     for more in paths[1:]:
         scope = scope.unionByName(more.select("target_id", "path"))
-    return scope.distinct().join(diags, "path").select("target_id", *diags.columns)
+    scope = scope.distinct()
+    if limit is None:
+        return scope.join(diags, "path").select("target_id", *diags.columns)
+    order = [*DIAGNOSTIC_ORDER, *[c for c in diags.columns if c not in DIAGNOSTIC_ORDER]]
+    heads = top_per_group(diags.filter(F.col("path").isNotNull()), ["path"], order, limit).drop("position")
+    found = scope.join(heads, "path").select("target_id", *diags.columns)
+    return top_per_group(found, ["target_id"], order, limit).drop("position")
 
 
 def symbols_in_range(ranges: DataFrame, identifiers: DataFrame, line_lengths: DataFrame) -> DataFrame:

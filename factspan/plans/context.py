@@ -23,7 +23,7 @@ def _item(df: DataFrame, kind: str, reason, suffix) -> DataFrame:
 
 def query_items(
     chosen: DataFrame, decls: DataFrame, references: DataFrame, call_edges: DataFrame, type_edges: DataFrame, diags: DataFrame,
-    reference_limit: int = 50, file_limit: int = 20, relation_limit: int = 20,
+    reference_limit: int = 50, file_limit: int = 20, relation_limit: int = 20, diagnostic_limit: int = 50,
 ) -> DataFrame:
     """Items of a symbol's pack: definition, members, references, related files, callers, calls, implementations, diagnostics."""
     placed = chosen.select("target_id", "symbol_id").join(decls, "symbol_id")
@@ -43,7 +43,7 @@ def query_items(
     implementations = heads(graph.implementations_of(chosen, type_edges), "symbol_id")
     files = cut_lineage(lookup.related(chosen, decls, references, call_edges, type_edges, limit=file_limit))
     scope = placed.select("target_id", "path")
-    in_scope = spans.diagnostics_for_context(diags, scope, refs.select("target_id", "path"), files.select("target_id", "path"))
+    in_scope = spans.diagnostics_for_context(diags, scope, refs.select("target_id", "path"), files.select("target_id", "path"), limit=diagnostic_limit)
     items = _item(placed, "definition", "selected-symbol-definition", F.col("name"))
     items = items.unionByName(_item(members, "member", "member-outline-entry", F.col("name")))
     items = items.unionByName(_item(refs, "reference", "references-selected-symbol", none))

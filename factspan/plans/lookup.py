@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import graph, impact, ranking, spans, usage
 from ..operators.core import LOC, bounded_section, top_per_group
+from ..session import cut_lineage
 
 
 def find(targets: DataFrame, decls: DataFrame, limit: int = 20, min_confidence: str = "low") -> dict[str, DataFrame]:
-    """Candidates in order, the choice, and why it is ambiguous where it is."""
-    ranked = ranking.rank_candidates(targets, decls)
-    choice = ranking.select_candidate(ranked, targets, min_confidence)
-    return {"ranked": ranked, "choice": choice, "candidates": ranking.find_result(ranked, choice, limit)}
+    """Candidates in order, the choice, and why it is ambiguous where it is.
+
+    A name that many declarations share is reduced to its count and its first rows before it meets the targets.
+    """
+    matched = cut_lineage(ranking.match_names(targets, decls))
+    choice = ranking.select_candidate(ranking.rank_matches(matched, ranking.name_groups(decls)), targets, min_confidence)
+    heads = ranking.rank_matches(matched, ranking.name_heads(decls, limit))
+    return {"choice": choice, "candidates": ranking.find_result(heads, choice, limit)}
 
 
 def resolve_positions(points: DataFrame, identifiers: DataFrame, decls: DataFrame) -> DataFrame:
