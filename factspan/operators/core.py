@@ -83,9 +83,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
     summed = running_total(counts, keys, value, F.col("__n"), "__upto")
     totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    joined = join_null_safe(summed, totals, keys) if keys else summed.withColumn("__one", F.lit(1)).join(
-        totals.withColumn("__one", F.lit(1)), "__one"
-    )
+    joined = join_null_safe(summed, totals, keys) if keys else summed.withColumn("__total", totals.scalar())
     reached = lambda q: F.col("__upto") >= F.ceil(F.col("__total") * F.lit(q))
     return joined.groupBy(*keys).agg(
         *[F.min(F.when(reached(q), F.col(value))).alias(name) for name, q in quantiles.items()]
@@ -105,9 +103,8 @@ def bounded_section(df: DataFrame, order, limit: int, group=()) -> DataFrame:
     else:
         head = df.orderBy(*_cols(order)).limit(limit)
         window = Window.partitionBy(F.lit(0)).orderBy(*_cols(order))
-        head = head.withColumn("position", F.row_number().over(window)).withColumn("__one", F.lit(1))
-        totals = df.agg(F.count("*").alias("total")).withColumn("__one", F.lit(1))
-        kept = head.join(totals, "__one").drop("__one")
+        head = head.withColumn("position", F.row_number().over(window))
+        kept = head.withColumn("total", df.agg(F.count("*").alias("total")).scalar())
     return kept.withColumn("truncated", F.col("total") > limit)
 
 

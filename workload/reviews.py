@@ -329,14 +329,18 @@ def _(f):
     return evals.trace_gates(df, bounds, 0.8, ["user_id"])
 
 
-@query("adoption_status", "repo s, status s, used_fallback b", """
+ADOPTION = """
 WITH r AS (SELECT CAST(c_custkey AS VARCHAR) AS repo, c_custkey % 11 <> 0 AS cloned FROM customer),
 a AS (SELECT CAST(o_custkey AS VARCHAR) AS repo, o_orderkey % 4 = 0 AS fb, max(ROW(o_orderkey % 5 <> 0, o_orderkey % 3 <> 0, o_orderkey % 2 = 0)) AS m FROM orders WHERE o_orderkey % 3 <> 1 AND o_orderkey < 3 * o_custkey GROUP BY ALL),
 j AS (SELECT r.repo, cloned, p.m AS pm, x.m AS xm FROM r LEFT JOIN a p ON p.repo = r.repo AND NOT p.fb LEFT JOIN a x ON x.repo = r.repo AND x.fb),
 u AS (SELECT *, pm IS NOT NULL AND xm IS NOT NULL AND NOT pm[3] AND (xm[3] OR (NOT pm[2] AND xm[2])) AS used FROM j),
-e AS (SELECT *, CASE WHEN used THEN xm ELSE pm END AS m FROM u)
+e AS (SELECT *, CASE WHEN used THEN xm ELSE pm END AS m FROM u),
+status AS (SELECT repo, CASE WHEN NOT cloned THEN 'clone-failed' WHEN coalesce(m[1] AND m[2] AND m[3], false) THEN 'clean-success' WHEN coalesce(m[2], false) THEN 'degraded-target-success' ELSE 'no-go' END AS status, used AS used_fallback FROM e)"""
+
+
+@query("adoption_status", "repo s, status s, used_fallback b", f"""{ADOPTION}
 SELECT_RESULT
-SELECT repo, CASE WHEN NOT cloned THEN 'clone-failed' WHEN coalesce(m[1] AND m[2] AND m[3], false) THEN 'clean-success' WHEN coalesce(m[2], false) THEN 'degraded-target-success' ELSE 'no-go' END AS status, used AS used_fallback FROM e""")
+SELECT * FROM status""")
 def _(f):
     return _adoption(f)
 
@@ -350,7 +354,9 @@ def _adoption(f):
     return evals.adoption_status(repos, attempts)
 
 
-@query("adoption_counts", "status s, repositories i")
+@query("adoption_counts", "status s, repositories i", f"""{ADOPTION}
+SELECT_RESULT
+SELECT status, count(*) AS repositories FROM status GROUP BY status""")
 def _(f):
     return evals.adoption_counts(_adoption(f))
 
