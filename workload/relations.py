@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factspan.operators import core, filters, graph, impact, ranking, usage
-from factspan.operators.core import LOC
+from factspan.operators import core, filters, graph, impact, usage
 from factspan.plans import lookup as plans
 
 from .registry import query
@@ -312,3 +311,25 @@ SELECT path, n AS row_count, substr(sha256(concat_ws(':', CAST(n AS VARCHAR), %s
 ))
 def _(f):
     return core.fingerprint(f.f_refs, ["path"], ["target_symbol_id", "usage_kind", "line", "column"], 16)
+
+
+SCOPE_TARGETS = "SELECT n_name AS target_id, 'r' AS repo, n_name AS project, min(c_name) AS path FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name"
+SCOPE_EDGES = (
+    "SELECT 'r' AS repo, a.n_name AS from_project, b.n_name AS to_project FROM nation a JOIN nation b ON b.n_nationkey = CAST((a.n_nationkey - a.n_nationkey % 2) / 2 AS BIGINT) WHERE a.n_nationkey > 0"
+)
+SCOPE_DOCS = "SELECT 'r' AS repo, n_name AS project, c_name AS path FROM customer JOIN nation ON n_nationkey = c_nationkey"
+
+
+@query("search_scope", "scope s, target_id s, project s, path s, is_own b", f"""
+WITH RECURSIVE t AS ({SCOPE_TARGETS}), e AS ({SCOPE_EDGES}), d AS ({SCOPE_DOCS}),
+up AS (SELECT from_project AS low, to_project AS high FROM e UNION SELECT up.low, e.to_project FROM up JOIN e ON e.from_project = up.high),
+s AS (SELECT 'file' AS scope, target_id, d.* FROM t JOIN d ON d.project = t.project AND d.path = t.path UNION ALL SELECT 'project', target_id, d.* FROM t JOIN d ON d.project = t.project
+  UNION ALL SELECT 'dependent-projects', target_id, d.* FROM t JOIN d ON d.project = t.project OR d.project IN (SELECT low FROM up WHERE up.high = t.project))
+SELECT_RESULT
+SELECT scope, s.target_id, s.project, s.path, s.project = t.project AND s.path = t.path AS is_own FROM s JOIN t ON t.target_id = s.target_id""")
+def _(f):
+    targets, edges, docs = f.sql(SCOPE_TARGETS), f.sql(SCOPE_EDGES), f.sql(SCOPE_DOCS)
+    parts = [
+        graph.search_scope(targets, edges, docs, scope).withColumn("scope", F.lit(scope)) for scope in ("file", "project", "dependent-projects")
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

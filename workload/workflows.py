@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factspan.operators.core import LOC
 from factspan.plans import changes, context, lookup, repositories
 
 from .registry import query
+from .reviews import FOUND, async_findings, security_findings
+from .snapshots import COMPARE, sides
 from .spans import AT, HITS
 
 LOCS = "path, line, column_no, end_line, end_column"
@@ -183,3 +184,23 @@ def _(f):
         "repo", F.lit(1).alias("schema_version"), F.when(F.col("repo") == "fr", "elsewhere").otherwise(F.col("repo")).alias("path"), F.lit("old").alias("fingerprint")
     )
     return repositories.overview(docs, cached)
+
+
+@query("review_pack", "position i, rule_id s, path s, line i, total i, truncated b", f"""
+WITH {FOUND}, scoped AS (SELECT * FROM allf WHERE path IN (SELECT concat('src/o', CAST(o_orderkey % 2000 AS VARCHAR), '.cs') FROM orders WHERE o_orderstatus = 'P')),
+placed AS (SELECT *, row_number() OVER (ORDER BY CASE severity WHEN 'warning' THEN 1 ELSE 2 END, CASE confidence WHEN 'high' THEN 0 ELSE 1 END, pack, rule_id, path, line, col) AS position, count(*) OVER () AS total FROM scoped)
+SELECT_RESULT
+SELECT position, rule_id, path, line, total, total > 100 AS truncated FROM placed WHERE position <= 100""")
+def _(f):
+    scope = f.sql("SELECT DISTINCT concat('src/o', CAST(o_orderkey % 2000 AS STRING), '.cs') AS path FROM orders WHERE o_orderstatus = 'P'")
+    return changes.review_pack([async_findings(f), security_findings(f)], 100, scope)["findings"]
+
+
+@query("public_api_diff", "total_changes i, source_breaking i, binary_breaking i, additions i, removals i, signature_changes i", f"""
+WITH {COMPARE}
+SELECT_RESULT
+SELECT count(*) AS total_changes, count(*) FILTER (source_risk = 'breaking') AS source_breaking, count(*) FILTER (binary_risk = 'breaking') AS binary_breaking,
+ count(*) FILTER (change = 'addition') AS additions, count(*) FILTER (change = 'removal') AS removals, count(*) FILTER (code = 'public-signature-changed') AS signature_changes FROM risked""")
+def _(f):
+    base, head = sides(f)
+    return repositories.public_api_diff(base, head)["summary"]
