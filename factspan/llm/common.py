@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -18,7 +19,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def settle(spark: SparkSession) -> SparkSession:
-    """Session settings that the operators rely on."""
+    """Session settings that the operators rely on; Python workers find this package where the driver has it."""
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, *known]))
     for key, value in BATCH.items():
         spark.conf.set(key, value)
     spark.conf.set("spark.sql.adaptive.enabled", "true")
@@ -76,9 +81,3 @@ def spread(*parts: Column) -> Column:
     text = F.concat_ws("|", *parts)
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder, for files that callers read themselves."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        cut_lineage(spark.range(0))
-    return os.path.join(spark.sparkContext.getCheckpointDir(), uuid.uuid4().hex)

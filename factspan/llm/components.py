@@ -47,5 +47,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         moved = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         after = shared_table(moved.distinct())
         if after.count() == now.count() and after.exceptAll(now).isEmpty():
-            return after.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            ends = after.select("b").distinct()
+            return after.select(F.col("a").alias("node"), F.col("b").alias("root")).union(ends.select(F.col("b").alias("node"), F.col("b").alias("root")))
         now = after

@@ -6,12 +6,13 @@ classes are joined, and copies follow by membership.
 * Columns are ordered by an estimate of how many rows hold them, rare first (a merged sketch; any order gives the same result). A
   class that reaches 75 % with another shares one of its first n - ceil(0.75 n) + 1 columns with it, so only these enter the
   product, and of these only columns of two classes or more. Passages that many texts share come last and hardly ever enter.
-* Along each column classes stand by size. First every class is multiplied with its column's first class and with its
-  predecessor, as many pairs as entries, and the pairs that reach 75 % are linked into components: a large group of near
+* In crowded columns every class is first multiplied with the column's head and with its predecessor in a few shuffled
+  orders, about as many pairs as entries, and the pairs that reach 75 % are linked into components: a large group of near
   copies is joined here without its pairs.
-* Then the rest of the product is made, block by block of a column, only between classes of different components and with
-  sizes within 75 % of each other. Overlap counts are accumulated over all columns; a pair is dropped if its count plus what
-  lies beyond both prefixes is below the overlap that its sizes ask for. Pairs left are compared on their whole sets.
+* Then the rest of the product is made, only between classes of different components and with sizes within 75 % of each
+  other. Blocks of columns that meet the same component are multiplied together, crowded columns tile by tile, and overlap
+  counts are accumulated in the block and then over all blocks; a pair is dropped if its count plus what lies beyond both
+  prefixes is below the overlap that its sizes ask for. Pairs left are compared on their whole sets.
 
 Null texts and texts without words have the empty set and link with nothing. Repeated rows are members of one class.
 """
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .blocks import linked_in_two_rounds, shared_columns
 from .common import id_type, keyed_texts, same_row, settle, shared_table
 from .components import components
 from .sketch import bitmap, cell_rows, merged_cells
@@ -35,8 +37,6 @@ SHINGLE = 5
 PERCENT = 75
 CELLS = 1 << 17
 BLOCK = 1 << 13
-#: Entries of a column in one block of the product.
-TILE = 1024
 
 
 def _sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -120,127 +120,9 @@ def _prefix_columns(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(cut, "gram long, n int, fp long")
 
 
-def _runs(gram: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-
-
-def _shared_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries sorted by (gram, n, fp): columns of two classes or more, each class once, with its place in the column.
-
-    The first class of a column is held back until a second one shows that the column is shared.
-    """
-    last = held = None
-    place = 0
-    for batch in batches:
-        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-        if len(rows[0]):
-            before = last if last is not None else [x[:1] for x in rows]
-            differs = np.any([x != np.r_[y, x[:-1]] for x, y in zip(rows, before)], axis=0)
-            differs[0] |= last is None
-            rows = [x[differs] for x in rows]
-        if not len(rows[0]):
-            continue
-        goes_on = last is not None and held is None and rows[0][0] == last[0][0]
-        if held is not None:
-            rows = [np.r_[x, y] for x, y in zip(held, rows)]
-        gram, n, fp = rows
-        starts = _runs(gram)
-        length = np.diff(np.r_[starts, len(gram)])
-        at = np.arange(len(gram)) - np.repeat(starts, length)
-        alone = length == 1
-        if goes_on:
-            at[: length[0]] += place
-            alone[0] = False
-        last, place = [x[-1:] for x in rows], int(at[-1]) + 1
-        held = last if alone[-1] else None
-        out = ~np.repeat(alone, length)
-        yield pa.RecordBatch.from_arrays([pa.array(gram[out]), pa.array(n[out].astype(np.int32)), pa.array(fp[out]), pa.array(at[out].astype(np.int64))], names=["gram", "n", "fp", "place"])
-
-
-def _close(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    return 100 * np.minimum(n, m).astype(np.int64) >= PERCENT * np.maximum(n, m).astype(np.int64)
-
-
-def _star_pairs(columns: DataFrame) -> DataFrame:
-    """Pairs of each class with its predecessor and with the head of its column, per column."""
-    schema = "a long, an int, b long, bn int"
-    names = ["a", "an", "b", "bn"]
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = head = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            gram, n, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if tail is not None:
-                gram, n, fp = np.r_[head[0], tail[0], gram], np.r_[head[1], tail[1], n], np.r_[head[2], tail[2], fp]
-            starts = _runs(gram)
-            lead = np.repeat(starts, np.diff(np.r_[starts, len(gram)]))
-            at = np.arange(2 if tail is not None else 1, len(gram))
-            x, y = np.r_[at - 1, lead[at]], np.r_[at, at]
-            fine = (gram[x] == gram[y]) & (fp[x] != fp[y]) & _close(n[x], n[y])
-            x, y = x[fine], y[fine]
-            tail = (gram[-1:], n[-1:], fp[-1:])
-            head = (gram[lead[-1] : lead[-1] + 1], n[lead[-1] : lead[-1] + 1], fp[lead[-1] : lead[-1] + 1])
-            flip = fp[x] > fp[y]
-            x, y = np.where(flip, y, x), np.where(flip, x, y)
-            rows = np.unique(np.stack([fp[x], n[x], fp[y], n[y]], 1), axis=0) if len(x) else np.zeros((0, 4), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1].astype(np.int32)), pa.array(rows[:, 2]), pa.array(rows[:, 3].astype(np.int32))], names=names)
-
-    ordered = columns.repartition("gram").sortWithinPartitions("gram", "n", "fp").select("gram", "n", "fp")
-    return ordered.mapInArrow(pair, schema).distinct()
-
-
-def _product(columns: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of different components with their overlap in the prefix columns, dropped below the bound of their sizes."""
-    schema = "a long, an int, b long, bn int, c long"
-    own = columns.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    mixed = own.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("place").alias("top")).filter("lo <> hi")
-    tiles = F.expr(f"top div {TILE} + 1")
-    own = own.join(mixed.select("gram", tiles.alias("tiles")), "gram").withColumn("tile", F.expr(f"place div {TILE}"))
-    block = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    block = block.select("gram", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), "tile", "n", "fp", "root")
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        names = ["a", "an", "b", "bn", "c"]
-
-        def made(group: list[np.ndarray]) -> pa.RecordBatch:
-            _g, ti, tj, tile, n, fp, root = group
-            left, right = np.flatnonzero(tile == ti), np.flatnonzero(tile == tj)
-            sizes = _close(n[left][:, None], n[right][None, :]) & (root[left][:, None] != root[right][None, :])
-            x, y = np.nonzero(sizes)
-            x, y = left[x], right[y]
-            if ti[0] == tj[0]:
-                x, y = x[x < y], y[x < y]
-            flip = fp[x] > fp[y]
-            x, y = np.where(flip, y, x), np.where(flip, x, y)
-            return pa.RecordBatch.from_arrays([pa.array(fp[x]), pa.array(n[x].astype(np.int32)), pa.array(fp[y]), pa.array(n[y].astype(np.int32)), pa.array(np.ones(len(x), np.int64))], names=names)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-            if held:
-                cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
-            starts = np.flatnonzero(np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])])
-            for s, e in zip(starts[:-1], starts[1:]):
-                yield made([c[s:e] for c in cols])
-            held = [c[starts[-1] :] for c in cols]
-        if held:
-            yield made(held)
-
-    keys = ["gram", "ti", "tj"]
-    pairs = block.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(multiply, schema)
-    counted = pairs.groupBy("a", "an", "b", "bn").agg(F.sum("c").alias("c"))
-    beyond = lambda n: F.ceil(F.lit(PERCENT) * F.col(n) / 100) - 1
-    most = F.col("c") + F.greatest(beyond("an"), beyond("bn"))
-    return counted.filter(most * (100 + PERCENT) >= (F.col("an") + F.col("bn")) * PERCENT).drop("c")
-
-
-def _whole_sets(docs: DataFrame, columns: DataFrame) -> DataFrame:
-    """Whole sets (fp, n, grams) of the classes that stand in a shared column."""
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(columns.select("fp").distinct(), F.col("fp"), 16))
+def _whole_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """Whole sets (fp, n, grams) of the needed classes (fp, n), from the texts."""
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(needed, F.col("fp"), 16))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = sent.value, set()
@@ -258,12 +140,21 @@ def _whole_sets(docs: DataFrame, columns: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(fp[kept])), pa.array(size[kept].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), values)], names=["fp", "n", "grams"])
 
     found = docs.select("text").mapInArrow(take, "fp long, n int, grams array<long>")
-    needed = columns.select("fp", "n").distinct()
     return shared_table(found.join(needed, ["fp", "n"], "left_semi").dropDuplicates(["fp", "n"]))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _bounded(pairs: DataFrame) -> DataFrame:
+    """Pairs whose overlap in the prefixes and all that lies beyond them can reach what their sizes ask for."""
+    beyond = lambda n: F.ceil(F.lit(PERCENT) * F.col(n) / 100) - 1
+    most = F.col("c") + F.greatest(beyond("an"), beyond("bn"))
+    return pairs.filter(most * (100 + PERCENT) >= (F.col("an") + F.col("bn")) * PERCENT).drop("c")
+
+
+def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose whole sets reach the threshold."""
+    pairs = shared_table(pairs)
+    needed = pairs.select(F.col("a").alias("fp"), F.col("an").alias("n")).union(pairs.select("b", "bn")).distinct()
+    sets = _whole_sets(docs, needed)
     left, right = sets.select(F.col("fp").alias("a"), F.col("n").alias("an"), F.col("grams").alias("x")), sets.select(F.col("fp").alias("b"), F.col("n").alias("bn"), F.col("grams").alias("y"))
     joined = pairs.join(left, ["a", "an"]).join(right, ["b", "bn"])
     shared = F.size(F.array_intersect("x", "y"))
@@ -276,13 +167,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     measured = shared_table(_measured(docs))
     counts = merged_cells(measured.filter("part is not null").select("part", "block", "cells"), CELLS, BLOCK, "uint32", None)
     entries = _prefix_columns(docs, counts)
-    ordered = entries.repartition("gram").sortWithinPartitions("gram", "n", "fp")
-    columns = shared_table(ordered.mapInArrow(_shared_columns, "gram long, n int, fp long, place long"))
-    sets = _whole_sets(docs, columns)
-    links = shared_table(_linked(_star_pairs(columns), sets))
-    roots = components(links)
-    more = _linked(_product(columns, roots), sets)
-    roots = components(shared_table(more.union(links)))
+    columns = shared_table(shared_columns(entries))
+    roots = linked_in_two_rounds(columns, PERCENT, lambda pairs, first: _linked(docs, pairs if first else _bounded(pairs)), shared_table, components)
     rows = measured.filter("part is null").select("doc_id", "k", "n", "fp")
     placed = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     linked = placed.filter("n > 0")

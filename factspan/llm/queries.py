@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, ngram_join, substrings
+from . import decontaminate, language_id, lattice, ngram_join, packing, quality, secret_scan, shards, substrings, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,61 @@ counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN counts c ON d.doc_id = c.doc_id
 """
+
+
+@_query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.secrets(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", _sha(F.col("base")).alias("base_sha256"), "spans", "n_markov")
+
+
+@_query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = toxicity.classify(docs, toxicity.fitted(docs, read(spark, sf_dir, "labels")))
+    return out.select("doc_id", "p_junk", F.col("p_toxic").alias("score"), F.col("flagged").cast("int").alias("predicted"), F.col("flagged").alias("rejected"))
+
+
+@_query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def _fold(of: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+
+
+@_query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(_fold(4) != 2))
+    held = F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out")
+    return language_id.identify(docs, model).select("doc_id", held, "lang_pred", "score")
+
+
+@_query
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fitted(docs, read(spark, sf_dir, "labels").filter(_fold(5) != 0))
+    held = F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out")
+    return quality.scored(docs, model).select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shards.interleave(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = _pipeline

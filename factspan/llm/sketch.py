@@ -43,7 +43,7 @@ def merged_cells(rows: DataFrame, size: int, block: int, dtype: str, most: int |
     The driver receives one row per block, so never more than the sketch's own size.
     """
 
-    def add(_key, frame: pd.DataFrame) -> pd.DataFrame:
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(block, np.int64)
         for cells in frame["cells"]:
             total += np.frombuffer(zlib.decompress(cells), dtype)
@@ -53,8 +53,8 @@ def merged_cells(rows: DataFrame, size: int, block: int, dtype: str, most: int |
 
     schema = "part long, block long, cells binary"
     near = rows.withColumn("near", F.expr(f"part div {FAN_IN}"))
-    first = near.groupBy("block", "near").applyInPandas(lambda key, frame: add(key, frame), schema)
-    final = first.groupBy("block").applyInPandas(lambda key, frame: add(key, frame), schema)
+    first = near.groupBy("block", "near").applyInPandas(add, schema)
+    final = first.groupBy("block").applyInPandas(add, schema)
     out = np.zeros(size, dtype)
     for row in final.collect():
         out[row["block"] * block : (row["block"] + 1) * block] = np.frombuffer(zlib.decompress(row["cells"]), dtype)

@@ -15,13 +15,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import id_type, keyed_texts, same_row, settle
-from .sketch import cell_rows, merged_cells
-from .words import NON_BLANK, U, Words, signed, text_groups, winnow, words_of
+from .common import id_type, keyed_texts, same_row, settle, shared_table
+from .sketch import bitmap, cell_rows, merged_cells
+from .words import NON_BLANK, U, Words, in_bits, signed, text_groups, winnow, words_of
 
 WINDOW = 50
 GRAM = 25
@@ -113,9 +114,21 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and kept (the words that stay, joined by one space), one row per row of ``docs``."""
+    """doc_id, n_words, n_removed and kept (the words that stay, joined by one space), one row per row of ``docs``.
+
+    Only texts whose key passes a bitmap of the rows that lose words are moved to meet their windows.
+    """
     settle(docs.sparkSession)
-    joined = same_row(keyed_texts(docs), repeated_windows(docs))
+    repeated = shared_table(repeated_windows(docs))
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(repeated, F.col("k"), 16))
+
+    @F.pandas_udf("boolean")
+    def may_lose(k: pd.Series) -> pd.Series:
+        return pd.Series(in_bits(sent.value, k.to_numpy(np.int64).view(U)))
+
+    keyed = keyed_texts(docs)
+    met = same_row(keyed.filter(may_lose("k")), repeated)
+    others = keyed.filter(~may_lose("k")).withColumn("starts", F.lit(None).cast("array<int>"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,6 +153,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n_words", "n_removed", "kept"],
                 )
 
-    return joined.select("doc_id", "text", "starts").mapInArrow(cut, f"doc_id {id_type(docs)}, n_words long, n_removed long, kept string")
+    schema = f"doc_id {id_type(docs)}, n_words long, n_removed long, kept string"
+    parts = [rows.select("doc_id", "text", "starts").mapInArrow(cut, schema) for rows in (met, others)]
+    return parts[0].union(parts[1])
 
 
