@@ -6,11 +6,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .common import shared_table
+from .components import components
 
 #: Columns of more entries than this are crowded.
 CROWD = 32
-ORDERS = 4
+#: Rounds of stars at most; what they leave is left to the product.
+STAR_ROUNDS = 3
 #: Entries of a column in one tile of the product, and entries of a block of columns.
 TILE = 1024
 BLOCK_ENTRIES = 200_000
@@ -76,39 +80,68 @@ def _counted(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return rows[starts], np.add.reduceat(counts, starts)
 
 
-def _pair_batch(rows: np.ndarray, counts: np.ndarray | None = None) -> pa.RecordBatch:
+def _pair_batch(rows: np.ndarray) -> pa.RecordBatch:
     arrays = [pa.array(rows[:, 0]), pa.array(rows[:, 1].astype(np.int32)), pa.array(rows[:, 2]), pa.array(rows[:, 3].astype(np.int32))]
-    names = ["a", "an", "b", "bn"]
-    if counts is not None:
-        arrays.append(pa.array(counts.astype(np.int64)))
-        names.append("c")
-    return pa.RecordBatch.from_arrays(arrays, names=names)
+    return pa.RecordBatch.from_arrays(arrays, names=["a", "an", "b", "bn"])
+
 
+def _list_batch(rows: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """One row for each first class of sorted pairs, with lists of its partners and counts."""
+    starts = np.flatnonzero(np.r_[True, np.any(rows[1:, :2] != rows[:-1, :2], axis=1)]) if len(rows) else np.zeros(0, np.int64)
+    ends = pa.array(np.r_[starts, len(rows)].astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (rows[:, 2], rows[:, 3].astype(np.int32), counts.astype(np.int64))]
+    return pa.RecordBatch.from_arrays([pa.array(rows[starts, 0]), pa.array(rows[starts, 1].astype(np.int32)), *lists], names=["a", "an", "b", "bn", "c"])
 
-def star_pairs(columns: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each class with its predecessor and with the head of a crowded column, in an order that differs by column."""
+
+def _summed(batches: Iterator[pa.RecordBatch], keep: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Sum the counts of lists sorted by (a, an), and pass on the pairs to keep."""
+    held: tuple[np.ndarray, np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = np.diff(batch.column(2).offsets.to_numpy())
+        first = [np.repeat(batch.column(i).to_numpy().astype(np.int64), sizes) for i in range(2)]
+        b, bn, counts = (batch.column(i).flatten().to_numpy() for i in range(2, 5))
+        rows = np.stack([first[0], first[1], b, bn.astype(np.int64)], 1)
+        if held is not None:
+            rows, counts = np.concatenate([held[0], rows]), np.concatenate([held[1], counts])
+        rows, counts = _counted(rows, counts)
+        last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+        held = rows[last:], counts[last:]
+        fine = keep(rows[:last], counts[:last])
+        yield _pair_batch(rows[:last][fine])
+    if held is not None:
+        yield _pair_batch(held[0][keep(*held)])
+
+
+def star_pairs(columns: DataFrame, roots: DataFrame | None, percent: int, order: Column) -> DataFrame:
+    """Pairs of different components: each class with its predecessor and with the head of a crowded column in an order."""
     crowded = columns.join(columns.filter(F.col("place") == CROWD).select("gram"), "gram", "left_semi")
+    if roots is None:
+        rooted = crowded.withColumn("root", F.col("fp"))
+    else:
+        rooted = crowded.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = head = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             if tail is not None:
                 cols = [np.r_[h, t, c] for h, t, c in zip(head, tail, cols)]
-            gram, n, fp = cols
+            gram, n, fp, root = cols
             starts = _runs(gram)
             lead = np.repeat(starts, np.diff(np.r_[starts, len(gram)]))
             at = np.arange(2 if tail is not None else 1, len(gram))
             x, y = np.r_[at - 1, lead[at]], np.r_[at, at]
-            fine = (gram[x] == gram[y]) & (fp[x] != fp[y]) & _close(n[x], n[y], percent)
+            fine = (gram[x] == gram[y]) & (root[x] != root[y]) & _close(n[x], n[y], percent)
             rows = _ordered_pair(x[fine], y[fine], n, fp)
             tail, head = [c[-1:] for c in cols], [c[lead[-1] : lead[-1] + 1] for c in cols]
             yield _pair_batch(_counted(rows, np.ones(len(rows), np.int64))[0])
 
-    order = F.xxhash64("fp", F.pmod("gram", F.lit(ORDERS)))
-    ordered = crowded.repartition("gram").sortWithinPartitions("gram", order, "fp").select("gram", "n", "fp")
+    typical = rooted.groupBy("fp").agg(F.count("*").alias("columns"))
+    ordered = rooted.join(typical, "fp").repartition("gram").sortWithinPartitions("gram", order, "fp").select("gram", "n", "fp", "root")
     return ordered.mapInArrow(pair, "a long, an int, b long, bn int").distinct()
 
 
@@ -155,14 +188,14 @@ def _multiply(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
                 held = [reduced()]
                 size = len(held[0][0])
                 if size >= HELD_PAIRS // 2:
-                    yield _pair_batch(*held[0])
+                    yield _list_batch(*held[0])
                     held, size = [], 0
     if held:
-        yield _pair_batch(*reduced())
+        yield _list_batch(*reduced())
 
 
-def product(columns: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, an, b, bn) of different components (node, root) with c, the number of columns they share."""
+def product(columns: DataFrame, roots: DataFrame, percent: int, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Pairs (a, an, b, bn) of different components (node, root) that ``keep`` keeps, given the number of columns they share."""
     own = columns.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     mixed = own.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("place").alias("top")).filter("lo <> hi")
     load = mixed.groupBy("lo").agg(F.expr(f"sum(top + 1) div {BLOCK_ENTRIES} + 1").alias("parts"))
@@ -172,8 +205,9 @@ def product(columns: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     tiled = tiled.withColumns({"ti": F.least("tile", "other"), "tj": F.greatest("tile", "other")})
     ordered = tiled.repartition("lo", "part").sortWithinPartitions("lo", "part", "gram", "ti", "tj")
     rows = ordered.select("gram", "ti", "tj", "tile", "n", "fp", "root")
-    pairs = rows.mapInArrow(lambda batches: _multiply(batches, percent), "a long, an int, b long, bn int, c long")
-    return pairs.groupBy("a", "an", "b", "bn").agg(F.sum("c").alias("c"))
+    lists = rows.mapInArrow(lambda batches: _multiply(batches, percent), "a long, an int, b array<long>, bn array<int>, c array<long>")
+    met = lists.repartition("a").sortWithinPartitions("a", "an")
+    return met.mapInArrow(lambda batches: _summed(batches, keep), "a long, an int, b long, bn int")
 
 
 def shared_columns(entries: DataFrame) -> DataFrame:
@@ -182,11 +216,24 @@ def shared_columns(entries: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_shared_columns, "gram long, n int, fp long, place long")
 
 
-def linked_in_two_rounds(columns: DataFrame, percent: int, linked: Callable[[DataFrame, bool], DataFrame], settle: Callable[[DataFrame], DataFrame], components: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Components of all classes that a chain of links joins; ``linked`` checks pairs (a, an, b, bn) exactly.
+def every_pair(rows: np.ndarray, _counts: np.ndarray) -> np.ndarray:
+    return np.ones(len(rows), bool)
+
+
+def linked_components(columns: DataFrame, percent: int, linked: Callable[[DataFrame], DataFrame], keep: Callable[[np.ndarray, np.ndarray], np.ndarray] = every_pair) -> DataFrame:
+    """Components (node, root) of all classes that a chain of links joins; ``linked`` checks pairs (a, an, b, bn) exactly.
 
-    The first round links the classes of crowded columns, the second all that meet in any column and are still apart.
+    Rounds of stars first link the classes of crowded columns; then all that meet in any column and are still apart are compared.
     """
-    links = settle(linked(star_pairs(columns, percent), True))
-    more = linked(product(columns, components(links), percent), False)
-    return components(settle(more.union(links)))
+    links, roots = None, None
+    for turn in range(STAR_ROUNDS):
+        order = F.col("columns").desc() if turn == 0 else F.xxhash64(F.lit(turn), "fp")
+        more = shared_table(linked(shared_table(star_pairs(columns, roots, percent, order))))
+        if more.isEmpty():
+            break
+        links = more if links is None else links.union(more)
+        roots = components(links)
+    if roots is None:
+        roots = columns.select(F.col("fp").alias("node"), F.col("fp").alias("root")).limit(0)
+    more = shared_table(linked(shared_table(product(columns, roots, percent, keep))))
+    return components(more if links is None else links.union(more))

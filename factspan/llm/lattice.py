@@ -22,9 +22,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .blocks import linked_in_two_rounds, shared_columns
+from .blocks import linked_components, shared_columns
 from .common import settle, shared_table
-from .components import components
 from .words import U, mix, signed
 
 COSINE = 0.95
@@ -176,7 +175,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
 
     entries = classes.select("fp", "embedding").mapInArrow(place, "gram long, n int, fp long")
     columns = shared_table(shared_columns(entries))
-    roots = shared_table(linked_in_two_rounds(columns, 0, lambda pairs, _first: _linked(shared_table(pairs), classes, cosine), shared_table, components))
+    roots = shared_table(linked_components(columns, 0, lambda pairs: _linked(pairs, classes, cosine)))
     members = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
     degrees = _degrees(members.select("fp", "m", "root", "embedding"), cosine)
     least = members.groupBy("root").agg(F.min("least").alias("component_id"))

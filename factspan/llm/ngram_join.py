@@ -6,9 +6,9 @@ classes are joined, and copies follow by membership.
 * Columns are ordered by an estimate of how many rows hold them, rare first (a merged sketch; any order gives the same result). A
   class that reaches 75 % with another shares one of its first n - ceil(0.75 n) + 1 columns with it, so only these enter the
   product, and of these only columns of two classes or more. Passages that many texts share come last and hardly ever enter.
-* In crowded columns every class is first multiplied with the column's head and with its predecessor in a few shuffled
-  orders, about as many pairs as entries, and the pairs that reach 75 % are linked into components: a large group of near
-  copies is joined here without its pairs.
+* In crowded columns every class is first multiplied with the column's most typical class and with its predecessor, about as
+  many pairs as entries, and the pairs that reach 75 % are linked into components: a large group of near copies is joined
+  here without its pairs.
 * Then the rest of the product is made, only between classes of different components and with sizes within 75 % of each
   other. Blocks of columns that meet the same component are multiplied together, crowded columns tile by tile, and overlap
   counts are accumulated in the block and then over all blocks; a pair is dropped if its count plus what lies beyond both
@@ -26,17 +26,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .blocks import linked_in_two_rounds, shared_columns
+from .blocks import linked_components, shared_columns
 from .common import id_type, keyed_texts, same_row, settle, shared_table
-from .components import components
 from .sketch import bitmap, cell_rows, merged_cells
 from .words import NON_BLANK, U, Words, in_bits, mix, signed, text_groups, words_of
 
 SHINGLE = 5
 #: 100 * shared >= PERCENT * union.
 PERCENT = 75
-CELLS = 1 << 17
-BLOCK = 1 << 13
+CELLS = 1 << 20
+BLOCK = 1 << 16
 
 
 def _sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -143,16 +142,14 @@ def _whole_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return shared_table(found.join(needed, ["fp", "n"], "left_semi").dropDuplicates(["fp", "n"]))
 
 
-def _bounded(pairs: DataFrame) -> DataFrame:
+def _reachable(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Pairs whose overlap in the prefixes and all that lies beyond them can reach what their sizes ask for."""
-    beyond = lambda n: F.ceil(F.lit(PERCENT) * F.col(n) / 100) - 1
-    most = F.col("c") + F.greatest(beyond("an"), beyond("bn"))
-    return pairs.filter(most * (100 + PERCENT) >= (F.col("an") + F.col("bn")) * PERCENT).drop("c")
+    beyond = np.maximum(_least_partner(rows[:, 1]), _least_partner(rows[:, 3])) - 1
+    return (counts + beyond) * (100 + PERCENT) >= (rows[:, 1] + rows[:, 3]) * PERCENT
 
 
 def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose whole sets reach the threshold."""
-    pairs = shared_table(pairs)
     needed = pairs.select(F.col("a").alias("fp"), F.col("an").alias("n")).union(pairs.select("b", "bn")).distinct()
     sets = _whole_sets(docs, needed)
     left, right = sets.select(F.col("fp").alias("a"), F.col("n").alias("an"), F.col("grams").alias("x")), sets.select(F.col("fp").alias("b"), F.col("n").alias("bn"), F.col("grams").alias("y"))
@@ -168,7 +165,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     counts = merged_cells(measured.filter("part is not null").select("part", "block", "cells"), CELLS, BLOCK, "uint32", None)
     entries = _prefix_columns(docs, counts)
     columns = shared_table(shared_columns(entries))
-    roots = linked_in_two_rounds(columns, PERCENT, lambda pairs, first: _linked(docs, pairs if first else _bounded(pairs)), shared_table, components)
+    roots = linked_components(columns, PERCENT, lambda pairs: _linked(docs, pairs), _reachable)
     rows = measured.filter("part is null").select("doc_id", "k", "n", "fp")
     placed = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     linked = placed.filter("n > 0")
