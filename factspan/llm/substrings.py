@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -122,13 +121,17 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     repeated = shared_table(repeated_windows(docs))
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(repeated, F.col("k"), 16))
 
-    @F.pandas_udf("boolean")
-    def may_lose(k: pd.Series) -> pd.Series:
-        return pd.Series(in_bits(sent.value, k.to_numpy(np.int64).view(U)))
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bits(sent.value, batch.column(1).to_numpy().view(U))))
 
     keyed = keyed_texts(docs)
-    met = same_row(keyed.filter(may_lose("k")), repeated)
-    others = keyed.filter(~may_lose("k")).withColumn("starts", F.lit(None).cast("array<int>"))
+    met = same_row(keyed.mapInArrow(passing, keyed.schema), repeated).select("doc_id", "text", "starts")
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.filter(pa.array(~in_bits(sent.value, batch.column(1).to_numpy().view(U))))
+            yield pa.RecordBatch.from_arrays([rest.column(0), rest.column(2), pa.nulls(rest.num_rows, pa.list_(pa.int32()))], names=["doc_id", "text", "starts"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +157,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                 )
 
     schema = f"doc_id {id_type(docs)}, n_words long, n_removed long, kept string"
-    parts = [rows.select("doc_id", "text", "starts").mapInArrow(cut, schema) for rows in (met, others)]
-    return parts[0].union(parts[1])
-
-
+    return met.mapInArrow(cut, schema).union(keyed.mapInArrow(lambda batches: cut(untouched(batches)), schema))

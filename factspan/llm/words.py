@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-GROUP_BYTES = 2 << 20
-SEGMENT = 1 << 19
+GROUP_BYTES = 1 << 20
+SEGMENT = 1 << 17
 U = np.uint64
 
 LOWER = np.arange(256, dtype=np.uint8)
