@@ -30,9 +30,10 @@ _TOKEN = "[A-Za-z0-9+/_-]{16,}={0,2}"
 
 #: Texts whose words train the model of ordinary identifiers.
 TRAINING_TEXTS = 2000
-#: Characters of the models (ASCII), added to every transition count, and the least ratios of a secret.
+#: Characters of the models, what is added to each one's count, how many transitions the fallback weighs, and the least ratios of a secret.
 ALPHABET = 66
 SMOOTHING = 0.5
+BACKOFF = 5.0
 LEAST_TOTAL = 12.0
 LEAST_MEAN = 0.5
 REPLACEMENT = "[SECRET]"
@@ -97,27 +98,25 @@ def _codes(token: Column) -> Column:
 
 
 def train(samples: DataFrame) -> dict[tuple[int, int], float]:
-    """Log ratio of each transition (codes of two characters) that a sample holds; a table of at most 128 x 128."""
+    """Log ratio of each transition (codes of two ASCII characters), a table of 128 x 128."""
     codes = samples.filter(F.length("token") > 1).withColumn("codes", _codes(F.col("token")))
     n = F.size("codes") - 1
     steps = F.zip_with(F.slice("codes", F.lit(1), n), F.slice("codes", F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     counts = codes.select("secret", F.explode(steps).alias("step")).groupBy("step.a", "step.b").agg(
         F.count_if("secret").alias("random"), F.count_if(~F.col("secret")).alias("plain")
     )
-    rows = [r for r in counts.collect() if r["a"] < 128 and r["b"] < 128]
-    totals: dict[int, list[int]] = {}
-    for r in rows:
-        total = totals.setdefault(r["a"], [0, 0])
-        total[0] += r["random"]
-        total[1] += r["plain"]
-    seen = {(r["a"], r["b"]): (r["random"], r["plain"]) for r in rows}
-    share = lambda count, total: math.log((count + SMOOTHING) / (total + SMOOTHING * ALPHABET))
-    out = {}
-    for a, total in totals.items():
-        for b in range(128):
-            random, plain = seen.get((a, b), (0, 0))
-            out[a, b] = share(random, total[0]) - share(plain, total[1])
-    return out
+    seen = {(r["a"], r["b"]): (r["random"], r["plain"]) for r in counts.collect() if r["a"] < 128 and r["b"] < 128}
+    logs: list[dict[tuple[int, int], float]] = []
+    for label in (0, 1):
+        after, next_, every = [0] * 128, [0] * 128, 0
+        for (a, b), count in seen.items():
+            after[a] += count[label]
+            next_[b] += count[label]
+            every += count[label]
+        # A transition falls back on how often its second character follows any.
+        share = [(n + SMOOTHING) / (every + SMOOTHING * ALPHABET) for n in next_]
+        logs.append({(a, b): math.log((seen.get((a, b), (0, 0))[label] + BACKOFF * share[b]) / (after[a] + BACKOFF)) for a in range(128) for b in range(128)})
+    return {pair: logs[0][pair] - logs[1][pair] for pair in logs[0]}
 
 
 def ratio(token: Column, model: dict[tuple[int, int], float]) -> Column:
