@@ -141,7 +141,7 @@ def target_framework(project_name, symbols) -> Column:
     def of_symbol(s: Column) -> Column:
         expr = F.lit(None).cast("string")
         legacy = F.regexp_extract(s, r"^NET(4\d+)$", 1)
-        spaced = F.regexp_replace(F.substring(legacy, 2, 100), r"(\d)", r".$1")
+        spaced = F.regexp_replace(F.substring(legacy, F.lit(2), F.length(legacy)), r"(\d)", r".$1")
         expr = F.when(legacy != "", F.concat(F.lit("net"), F.substring(legacy, 1, 1), spaced)).otherwise(expr)
         for token, label in (("NETCOREAPP", "netcoreapp"), ("NETSTANDARD", "netstandard"), ("NET", "net")):
             pattern = rf"^{token}(\d+)_(\d+)$"

@@ -13,12 +13,29 @@ SOURCE_EXTENSIONS = ["cs", "vb"]
 BUILD_FOLDERS = ["obj", "bin"]
 
 
+# The escapes of quoted paths, as hexadecimal bytes.
+ESCAPES = {"a": "07", "b": "08", "t": "09", "n": "0A", "v": "0B", "f": "0C", "r": "0D"}
+
+
+def _unescaped(text: Column) -> Column:
+    """Text with backslash escapes and octal bytes (of UTF-8) decoded."""
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)\\[0-7]{3}|\\.|[^\\]+|\\"), F.lit(0))
+    named = F.create_map(*[F.lit(x) for pair in ESCAPES.items() for x in pair])
+
+    def as_hex(piece: Column) -> Column:
+        rest = F.substring(piece, 2, 3)
+        octal = F.lpad(F.conv(rest, 8, 16), 2, "0")
+        escaped = F.coalesce(F.try_element_at(named, rest), F.hex(rest))
+        return F.when(piece.rlike(r"^\\[0-7]{3}$"), octal).when(piece.startswith("\\") & (F.length(piece) > 1), escaped).otherwise(F.hex(piece))
+
+    return F.decode(F.unhex(F.array_join(F.transform(pieces, as_hex), "")), "UTF-8")
+
+
 def normalize_path(path) -> Column:
     """Unquote, drop a leading a/ or b/, forward slashes, no leading ./."""
     text = F.trim(_col(path))
     quoted = (F.length(text) >= 2) & text.startswith('"') & text.endswith('"')
-    inner = F.regexp_replace(F.regexp_replace(text, r'^"(.*)"$', "$1"), r"\\(.)", "$1")
-    text = F.when(quoted, inner).otherwise(text)
+    text = F.when(quoted, _unescaped(F.regexp_replace(text, r'(?s)^"(.*)"$', "$1"))).otherwise(text)
     text = F.regexp_replace(text, "^[ab]/", "")
     return forward_slashes(text)
 

@@ -76,13 +76,13 @@ TEST_NAME_REASONS = ["project-name-test", "project-path-test", "assembly-name-te
 
 
 def classify_projects(projects: DataFrame, package_refs: DataFrame) -> DataFrame:
-    """Reason codes of each project, then its kind by the strongest reason, with confidence."""
+    """Reason codes of each project of a repository, then its kind by the strongest reason, with confidence."""
     package = F.lower("name")
     mapped = F.create_map(*[F.lit(x) for pair in PACKAGE_REASONS.items() for x in pair])
     signals = (
         package_refs.filter(package.isin(list(PACKAGE_REASONS)))
-        .select("project_id", F.try_element_at(mapped, package).alias("r"))
-        .groupBy("project_id")
+        .select("repo", "project_id", F.try_element_at(mapped, package).alias("r"))
+        .groupBy("repo", "project_id")
         .agg(F.collect_set("r").alias("package_reasons"))
     )
 
@@ -121,7 +121,7 @@ def classify_projects(projects: DataFrame, package_refs: DataFrame) -> DataFrame
     )
     empty = F.size("codes") == 0
     return (
-        projects.join(signals, "project_id", "left")
+        projects.join(signals, ["repo", "project_id"], "left")
         .withColumn("codes", codes)
         .withColumn("kind", kind)
         .withColumn("confidence", confidence)

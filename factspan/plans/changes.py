@@ -104,7 +104,7 @@ def related_tests(changed: DataFrame, tests: DataFrame, references: DataFrame, l
 def review_pack(findings: list[DataFrame], limit: int, scope_files: DataFrame | None = None) -> dict[str, DataFrame]:
     """Findings of the chosen packs, in the changed files only when a scope is given; kept in order, and their summary.
 
-    The summary counts the findings that were kept.
+    The summary counts all findings; ``kept_summary`` those that the limit kept.
     """
     union = findings[0]
     for part in findings[1:]:
@@ -112,4 +112,4 @@ def review_pack(findings: list[DataFrame], limit: int, scope_files: DataFrame |
     if scope_files is not None:
         union = union.join(scope_files.filter(is_source_path("path")).select("path").distinct(), "path", "left_semi")
     kept = review.order_findings(union, limit)
-    return {"findings": kept, "summary": review.finding_summary(kept)}
+    return {"findings": kept, "summary": review.finding_summary(union), "kept_summary": review.finding_summary(kept)}

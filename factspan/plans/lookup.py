@@ -10,14 +10,14 @@ from ..session import cut_lineage
 
 
 def find(targets: DataFrame, decls: DataFrame, limit: int = 20, min_confidence: str = "low") -> dict[str, DataFrame]:
-    """Candidates in order, the choice, and why it is ambiguous where it is.
+    """Candidates in order, the choice, why it is ambiguous where it is, and the targets whose pattern is invalid.
 
     A name that many declarations share is reduced to its count and its first rows before it meets the targets.
     """
-    matched = cut_lineage(ranking.match_names(targets, decls))
+    matched = cut_lineage(ranking.match_names(targets, decls, with_regex=True))
     choice = ranking.select_candidate(ranking.rank_matches(matched, ranking.name_groups(decls)), targets, min_confidence)
     heads = ranking.rank_matches(matched, ranking.name_heads(decls, limit))
-    return {"choice": choice, "candidates": ranking.find_result(heads, choice, limit)}
+    return {"choice": choice, "candidates": ranking.find_result(heads, choice, limit), "invalid": ranking.invalid_patterns(targets)}
 
 
 def resolve_positions(points: DataFrame, identifiers: DataFrame, decls: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ PROJECT_XML = f"""
     ItemGroup array<struct<
         PackageReference:array<struct<{_ITEM}>>,
         ProjectReference:array<struct<_Include:string>>,
-        PackageVersion:array<struct<{_ITEM}>>>>
+        PackageVersion:array<struct<{_ITEM}>>>>,
+    _corrupt string
 """
 COVERAGE_NAMES = ["Directory.Build.props", "Directory.Build.targets", "Directory.Packages.props"]
 CENTRAL_NAME = "Directory.Packages.props"
@@ -35,7 +36,7 @@ def _property(name: str) -> Column:
 
 
 def _parsed(project_files: DataFrame) -> DataFrame:
-    return project_files.withColumn("x", F.from_xml("xml", PROJECT_XML, {"rowTag": "Project", "mode": "PERMISSIVE"}))
+    return project_files.withColumn("x", F.from_xml("xml", PROJECT_XML, {"rowTag": "Project", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
 
 
 def _is_true(c: Column) -> Column:
@@ -48,7 +49,7 @@ def read_projects(project_files: DataFrame) -> DataFrame:
     frameworks = F.coalesce(_property("TargetFrameworks"), _property("TargetFramework"), F.lit(""))
     parts = F.filter(F.transform(F.split(frameworks, ";"), lambda s: F.trim(s)), lambda s: s != "")
     name = F.regexp_replace(file_name("path"), r"\.[^.]*$", "")
-    broken = F.col("x._Sdk").isNull() & F.col("x.PropertyGroup").isNull() & F.col("x.ItemGroup").isNull()
+    broken = F.col("x._corrupt").isNotNull() | F.trim(F.coalesce("xml", F.lit(""))).isin("")
     return parsed.select(
         "repo", "path", name.alias("name"),
         project_id("path", name, F.lit(None)).alias("project_id"),
@@ -81,12 +82,12 @@ def read_package_refs(project_files: DataFrame) -> DataFrame:
 
 
 def resolve_relative(base_dir: Column, include: Column) -> Column:
-    """Path of an include below a directory with '.' and '..' parts resolved."""
+    """Path of an include below a directory with '.' and '..' parts resolved; '..' above the root stay in front."""
     joined = F.concat_ws("/", F.when(base_dir != "", base_dir), F.translate(include, "\\", "/"))
     parts = F.filter(F.split(joined, "/"), lambda p: (p != "") & (p != "."))
 
     def step(acc: Column, part: Column) -> Column:
-        up = (part == "..") & (F.size(acc) > 0)
+        up = (part == "..") & (F.size(acc) > 0) & (F.coalesce(F.get(acc, F.size(acc) - 1), F.lit("")) != "..")
         return F.when(up, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.concat(acc, F.array(part)))
 
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
@@ -176,20 +177,20 @@ def project_edges(projects: DataFrame, project_refs: DataFrame, extra_refs: Data
 
 
 def test_relationships(edges: DataFrame, classes: DataFrame) -> DataFrame:
-    """Edges from a test project to a production project, with reasons."""
-    tests = classes.filter(F.col("kind") == "test").select(F.col("project_id").alias("from_project_id"), "reason_codes")
+    """Edges from a test project to a production project of the same repository, with reasons."""
+    tests = classes.filter(F.col("kind") == "test").select("repo", F.col("project_id").alias("from_project_id"), "reason_codes")
     production = classes.filter(~F.col("kind").isin("test", "benchmark", "unknown")).select(
-        F.col("project_id").alias("to_project_id")
+        "repo", F.col("project_id").alias("to_project_id")
     )
     packages = F.filter("reason_codes", lambda r: r.endswith("-package"))
     own = F.array(F.lit("test-project-classification"), F.lit("project-reference-to-production"))
     return (
-        edges.select("from_project_id", "to_project_id")
+        edges.select("repo", "from_project_id", "to_project_id")
         .distinct()
-        .join(tests, "from_project_id")
-        .join(production, "to_project_id")
+        .join(tests, ["repo", "from_project_id"])
+        .join(production, ["repo", "to_project_id"])
         .select(
-            F.lit("tests").alias("kind"), "from_project_id", "to_project_id", F.lit("high").alias("confidence"),
+            "repo", F.lit("tests").alias("kind"), "from_project_id", "to_project_id", F.lit("high").alias("confidence"),
             F.array_sort(F.array_union(own, packages)).alias("reason_codes"),
         )
     )

@@ -31,10 +31,10 @@ def test_budget_stops_at_first_overflow(spark):
 
 def test_project_classes(spark):
     projects = spark.createDataFrame(
-        [("1", "App", "a.csproj", None, None, None, False), ("2", "Cli", "c.csproj", None, None, "Exe", True)],
-        "project_id string, name string, path string, assembly_name string, sdk string, output_type string, pack_as_tool boolean",
+        [("r", "1", "App", "a.csproj", None, None, None, False), ("r", "2", "Cli", "c.csproj", None, None, "Exe", True)],
+        "repo string, project_id string, name string, path string, assembly_name string, sdk string, output_type string, pack_as_tool boolean",
     )
-    packages = spark.createDataFrame([("1", "Microsoft.NET.Test.Sdk"), ("1", "xunit")], "project_id string, name string")
+    packages = spark.createDataFrame([("r", "1", "Microsoft.NET.Test.Sdk"), ("r", "1", "xunit")], "repo string, project_id string, name string")
     got = {r.project_id: (r.kind, r.confidence, r.reason_codes) for r in filters.classify_projects(projects, packages).collect()}
     assert got["1"] == ("test", "high", ["test-sdk-package", "xunit-package", "output-type-library"])
     assert got["2"][:2] == ("tooling", "high") and "pack-as-tool" in got["2"][2]

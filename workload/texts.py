@@ -65,7 +65,7 @@ def _(f):
 @query("route_functions", "page_id i, route s, combined s, squeezed s", """
 SELECT page_id, regexp_replace(concat('/', url), '/+', '/', 'g') AS route, concat(rtrim(split_part(url, '?', 1), '/'), '/', ltrim(split_part(url, '?', 2), '/')) AS raw,
  CASE WHEN split_part(url, '?', 2) = '' THEN split_part(url, '?', 1) ELSE concat(rtrim(split_part(url, '?', 1), '/'), '/', ltrim(split_part(url, '?', 2), '/')) END AS combined,
- trim(regexp_replace(substr(html, 1, 100000000), '\\s+', ' ', 'g')) AS squeezed FROM pages""")
+ trim(regexp_replace(html, '\\s+', ' ', 'g')) AS squeezed FROM pages""")
 def _(f):
     left, right = F.split_part("url", F.lit("?"), F.lit(1)), F.split_part("url", F.lit("?"), F.lit(2))
     return f.pages.select(
