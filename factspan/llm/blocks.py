@@ -225,15 +225,13 @@ def linked_components(columns: DataFrame, percent: int, linked: Callable[[DataFr
 
     Rounds of stars first link the classes of crowded columns; then all that meet in any column and are still apart are compared.
     """
-    links, roots = None, None
+    roots = columns.select(F.col("fp").alias("node"), F.col("fp").alias("root")).limit(0)
     for turn in range(STAR_ROUNDS):
         order = F.col("columns").desc() if turn == 0 else F.xxhash64(F.lit(turn), "fp")
-        more = shared_table(linked(shared_table(star_pairs(columns, roots, percent, order))))
+        more = shared_table(linked(shared_table(star_pairs(columns, roots if turn else None, percent, order))))
         if more.isEmpty():
             break
-        links = more if links is None else links.union(more)
-        roots = components(links)
-    if roots is None:
-        roots = columns.select(F.col("fp").alias("node"), F.col("fp").alias("root")).limit(0)
+        # The stars found so far stand for all earlier links.
+        roots = components(more.union(roots.select("node", "root")))
     more = shared_table(linked(shared_table(product(columns, roots, percent, keep))))
-    return components(more if links is None else links.union(more))
+    return components(more.union(roots.select("node", "root")))

@@ -28,14 +28,21 @@ def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame([(x, root(x)) for x in parent if root(x) != x], columns=["a", "b"], dtype="int64")
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every node is either linked to one lesser node or is the centre of such links."""
+    nodes = links.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(links.select("b", F.lit(0), F.lit(1)))
+    degrees = nodes.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return degrees.filter("out > 1 or (out = 1 and into = 1)").isEmpty()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root (least node of its component) for every node that has a link; node ids are longs.
 
     Each partition first reduces its links to a forest, so a crowded component costs no more than its nodes. Then links move
-    to ever smaller neighbours until nothing changes, a number of rounds that grows with the logarithm of the longest path.
+    to ever smaller neighbours until only stars are left, a number of rounds that grows with the logarithm of the longest path.
     """
     now = shared_table(links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b").mapInPandas(_forest, "a long, b long"))
-    while True:
+    while not _are_stars(now):
         # Large star: larger neighbours of every node move to the least of its neighbourhood.
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -45,8 +52,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a")
         moved = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        after = shared_table(moved.distinct())
-        if after.count() == now.count() and after.exceptAll(now).isEmpty():
-            ends = after.select("b").distinct()
-            return after.select(F.col("a").alias("node"), F.col("b").alias("root")).union(ends.select(F.col("b").alias("node"), F.col("b").alias("root")))
-        now = after
+        now = shared_table(moved.distinct())
+    centres = now.select("b").distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(centres.select(F.col("b").alias("node"), F.col("b").alias("root")))

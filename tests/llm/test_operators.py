@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from factspan.llm import decontaminate, language_id, lattice, ngram_join, packing, quality, secret_scan, shards, substrings, toxicity
+from factspan.llm.components import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORDS = re.compile("[^\x20\x09-\x0d]+")
@@ -313,3 +314,19 @@ def test_pipeline_stages_on_their_own_input(spark):
         out = stage(spark, kept, folder)
         assert out.columns == kept.columns and 0 < out.count() <= kept.count(), name
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_are_those_of_a_plain_walk(spark, seed):
+    draw = random.Random(seed)
+    path = [(i, i + 1) for i in range(100, 160)]
+    links = path + [(draw.randrange(90), draw.randrange(90)) for _ in range(60)] + [(200, 201)] * 3
+    draw.shuffle(links)
+    least = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+    for _ in least:
+        for a, b in links:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    found = components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()
+    assert sorted((r["node"], r["root"]) for r in found) == sorted(least.items())
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
