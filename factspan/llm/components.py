@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import shared_table
 
+#: Links that one task joins into stars.
+LINKS_PER_TASK = 500_000
+
 
 def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Links of one partition as stars around its least nodes: no more links than nodes, and the same connections."""
@@ -38,11 +41,15 @@ def _are_stars(links: DataFrame) -> bool:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root (least node of its component) for every node that has a link; node ids are longs.
 
-    Each partition first reduces its links to a forest, so a crowded component costs no more than its nodes. Then links move
-    to ever smaller neighbours until only stars are left, a number of rounds that grows with the logarithm of the longest path.
+    Each partition first reduces its links to a forest, so a crowded component costs no more than its nodes. What is left is
+    dealt to as many tasks as its number asks for, which do so again. If these were several, links move to ever smaller
+    neighbours until only stars are left, a number of rounds that grows with the logarithm of the longest path.
     """
-    now = shared_table(links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b").mapInPandas(_forest, "a long, b long"))
-    while not _are_stars(now):
+    known = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b")
+    trees = shared_table(known.mapInPandas(_forest, "a long, b long"))
+    tasks = max(1, -(-trees.count() // LINKS_PER_TASK))
+    now = shared_table(trees.repartition(tasks).mapInPandas(_forest, "a long, b long"))
+    while tasks > 1 and not _are_stars(now):
         # Large star: larger neighbours of every node move to the least of its neighbourhood.
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
