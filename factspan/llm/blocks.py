@@ -114,9 +114,14 @@ def _summed(batches: Iterator[pa.RecordBatch], keep: Callable[[np.ndarray, np.nd
         yield _pair_batch(held[0][keep(*held)])
 
 
-def star_pairs(columns: DataFrame, roots: DataFrame | None, percent: int, order: Column) -> DataFrame:
-    """Pairs of different components: each class with its predecessor and with the head of a crowded column in an order."""
+def crowded_columns(columns: DataFrame) -> DataFrame:
+    """Entries of crowded columns, with the number of crowded columns that hold their class."""
     crowded = columns.join(columns.filter(F.col("place") == CROWD).select("gram"), "gram", "left_semi")
+    return crowded.join(crowded.groupBy("fp").agg(F.count("*").alias("columns")), "fp")
+
+
+def star_pairs(crowded: DataFrame, roots: DataFrame | None, percent: int, order: Column) -> DataFrame:
+    """Pairs of different components: each class with its predecessor and with the head of a crowded column in an order."""
     if roots is None:
         rooted = crowded.withColumn("root", F.col("fp"))
     else:
@@ -140,8 +145,7 @@ def star_pairs(columns: DataFrame, roots: DataFrame | None, percent: int, order:
             tail, head = [c[-1:] for c in cols], [c[lead[-1] : lead[-1] + 1] for c in cols]
             yield _pair_batch(_counted(rows, np.ones(len(rows), np.int64))[0])
 
-    typical = rooted.groupBy("fp").agg(F.count("*").alias("columns"))
-    ordered = rooted.join(typical, "fp").repartition("gram").sortWithinPartitions("gram", order, "fp").select("gram", "n", "fp", "root")
+    ordered = rooted.repartition("gram").sortWithinPartitions("gram", order, "fp").select("gram", "n", "fp", "root")
     return ordered.mapInArrow(pair, "a long, an int, b long, bn int").distinct()
 
 
@@ -226,12 +230,18 @@ def linked_components(columns: DataFrame, percent: int, linked: Callable[[DataFr
     Rounds of stars first link the classes of crowded columns; then all that meet in any column and are still apart are compared.
     """
     roots = columns.select(F.col("fp").alias("node"), F.col("fp").alias("root")).limit(0)
+    crowded = shared_table(crowded_columns(columns))
     for turn in range(STAR_ROUNDS):
         order = F.col("columns").desc() if turn == 0 else F.xxhash64(F.lit(turn), "fp")
-        more = shared_table(linked(shared_table(star_pairs(columns, roots if turn else None, percent, order))))
+        pairs = shared_table(star_pairs(crowded, roots if turn else None, percent, order))
+        if pairs.isEmpty():
+            break
+        more = shared_table(linked(pairs))
         if more.isEmpty():
             break
         # The stars found so far stand for all earlier links.
         roots = components(more.union(roots.select("node", "root")))
-    more = shared_table(linked(shared_table(product(columns, roots, percent, keep))))
-    return components(more.union(roots.select("node", "root")))
+    pairs = shared_table(product(columns, roots, percent, keep))
+    if pairs.isEmpty():
+        return roots
+    return components(linked(pairs).union(roots.select("node", "root")))
