@@ -317,7 +317,9 @@ def test_pipeline_stages_on_their_own_input(spark):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_components_are_those_of_a_plain_walk(spark, seed):
+def test_components_are_those_of_a_plain_walk(spark, seed, monkeypatch):
+    # One task, several tasks and star rounds, as many tasks as links allow.
+    monkeypatch.setattr("factspan.llm.components.LINKS_PER_TASK", (500_000, 40, 15)[seed])
     draw = random.Random(seed)
     path = [(i, i + 1) for i in range(100, 160)]
     links = path + [(draw.randrange(90), draw.randrange(90)) for _ in range(60)] + [(200, 201)] * 3
