@@ -158,8 +158,11 @@ def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.filter(shared * (100 + PERCENT) >= (F.col("an") + F.col("bn")) * PERCENT).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, k, n_shingles and component_id (least id reachable by links), one row per row of ``docs``."""
+def _placed(docs: DataFrame) -> DataFrame:
+    """doc_id, k, n, root (the class that names the row's component) and least (least id of the component), one row per row of ``docs``.
+
+    Rows without words have no component: least is their own id.
+    """
     settle(docs.sparkSession)
     measured = shared_table(_measured(docs))
     counts = merged_cells(measured.filter("part is not null").select("part", "block", "cells"), CELLS, BLOCK, "uint32", None)
@@ -170,25 +173,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     linked = placed.filter("n > 0")
     least = linked.groupBy("root").agg(F.min("doc_id").alias("least"))
-    named = linked.join(least, "root").select("doc_id", "k", "n", F.col("least").alias("component_id"))
-    alone = placed.filter("n = 0").select("doc_id", "k", "n", F.col("doc_id").alias("component_id"))
-    return named.union(alone).withColumnRenamed("n", "n_shingles")
+    named = linked.join(least, "root").select("doc_id", "k", "n", "root", "least")
+    alone = placed.filter("n = 0").select("doc_id", "k", "n", "root", F.col("doc_id").alias("least"))
+    return named.union(alone)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, k, n_shingles and component_id (least id reachable by links), one row per row of ``docs``."""
+    return _placed(docs).select("doc_id", "k", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of linked rows, that of the least id (of several rows with that id, one); all columns stay.
 
+    Groups are told apart by their links alone: rows with a null id, or with one id and unlike texts, are in groups of their own.
     Rows without words are linked with nothing and all stay.
     """
-    found = shared_table(near_duplicates(docs))
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    once = first.filter("n_shingles > 0").groupBy("component_id").agg(F.min("k").alias("k"), F.min("n_shingles").alias("n_shingles"))
-    empty = first.filter("n_shingles = 0").select("doc_id", "k", "n_shingles").distinct()
-    stay = once.withColumnRenamed("component_id", "doc_id").unionByName(empty)
-    stay = stay.select(F.col("doc_id").alias("__doc"), F.col("k").alias("__k"), (F.col("n_shingles") > 0).alias("__once"))
+    found = shared_table(_placed(docs))
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("least")))
+    once = first.filter("n > 0").groupBy("root").agg(F.min(F.struct("k", "doc_id")).alias("row")).select("row.doc_id", "row.k", F.lit(True).alias("once"))
+    empty = first.filter("n = 0").select("doc_id", "k", F.lit(False).alias("once")).distinct()
+    stay = once.union(empty).select(F.col("doc_id").alias("__doc"), F.col("k").alias("__k"), F.col("once").alias("__once"))
     keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
     joined = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__row") == F.col("__k")))
-    repeats = found.filter("n_shingles > 0").groupBy("doc_id", "k").count().filter("count > 1")
+    repeats = found.filter("n > 0").groupBy("doc_id", "k").count().filter("count > 1")
     if not repeats.isEmpty():
         place = F.row_number().over(Window.partitionBy("__row", "doc_id").orderBy(F.lit(0)))
         joined = joined.withColumn("__place", place).filter("not __once or __place = 1")
