@@ -12,6 +12,7 @@ Null and empty texts are a single end token. Repeated rows are pieces of their o
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +27,9 @@ END = 0
 #: The tokenizer's vocabulary by name; its ids are those of ``byte_bpe_50k.json``.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SPECIAL = {"<|endoftext|>": 50256}
+#: What the pattern takes for blanks, and how many of them in a row are kept from its matcher, which fails at a million.
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+LONG_RUN = 100_000
 
 
 def encoder(vocabulary: str = VOCABULARY):
@@ -36,12 +40,25 @@ def encoder(vocabulary: str = VOCABULARY):
     with open(public_tokenizers.path(vocabulary), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
-    special = tuple(SPECIAL)
+    special = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
+
+    def ordinary(text: str) -> list[int]:
+        if len(text) < LONG_RUN:
+            return encoding.encode_ordinary(text)
+        ids, at = [], 0
+        for run in BLANKS.finditer(text):
+            if run.end() - run.start() >= LONG_RUN:
+                # The pattern splits here as well: a run is one piece, but for its last blank where a word follows.
+                until = run.end() - (run.end() < len(text))
+                ids += encoding.encode_ordinary(text[at : run.start()])
+                ids += encoding._encode_single_piece(text[run.start() : until])
+                at = until
+        return ids + encoding.encode_ordinary(text[at:])
 
     def encode(text: str) -> list[int]:
-        if any(s in text for s in special):
-            return encoding.encode(text, allowed_special="all")
-        return encoding.encode_ordinary(text)
+        if not any(name in text for name in SPECIAL):
+            return ordinary(text)
+        return [i for part in special.split(text) for i in ([SPECIAL[part]] if part in SPECIAL else ordinary(part))]
 
     return encode
 
