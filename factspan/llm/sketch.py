@@ -7,26 +7,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 BITS_MOST = 27
+#: 64-bit words of a bitmap that are sent to the driver as one binary value.
+BLOCK_WORDS = 1 << 15
 FAN_IN = 64
 
 
 def bitmap(df: DataFrame, value: Column, bits_each: int = 64) -> np.ndarray:
     """A bitmap with the bit of every value set, at most 2^27 bits (16 MB) however many values there are.
 
-    Too many values only let more pass. Spark merges the words of 63 bits; the driver gets the merged words.
+    Too many values only let more pass. Spark merges the words of 64 bits and packs them; the driver gets at most 64 packed blocks.
     """
     values = df.select(value.alias("v")).filter("v is not null")
     count = values.count()
     power = min(BITS_MOST, max(13, (count * bits_each).bit_length()))
-    placed = values.select(F.col("v").bitwiseAND((1 << power) - 1).alias("at")).select(F.expr("at div 32").alias("word"), F.expr("shiftleft(1L, cast(at % 32 as int))").alias("bit"))
-    merged = placed.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
-    out = np.zeros((1 << power) // 32, np.uint32)
-    for row in merged:
-        out[row["word"]] = row["bits"]
-    return out.view(np.uint8)
+    at = values.select(F.col("v").bitwiseAND((1 << power) - 1).alias("at"))
+    words = at.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+
+    def blocks(key, rows):
+        block = np.zeros(min(BLOCK_WORDS, (1 << power) // 64), np.int64)
+        block[rows["word"].to_numpy() % BLOCK_WORDS] = rows["bits"].to_numpy()
+        return pa.table({"block": [key[0].as_py()], "bits": pa.array([zlib.compress(block.tobytes(), 1)], pa.binary())})
+
+    merged = words.groupBy(F.expr(f"word div {BLOCK_WORDS}").alias("block")).applyInArrow(blocks, "block long, bits binary")
+    out = np.zeros((1 << power) // 8, np.uint8)
+    for row in merged.collect():
+        block = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+        out[row["block"] * BLOCK_WORDS * 8 :][: len(block)] = block
+    return out
 
 
 def cell_rows(cells: np.ndarray, part: int, block: int) -> Iterator[tuple[int, int, bytes]]:

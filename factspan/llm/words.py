@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,9 @@ NON_BLANK[[9, 10, 11, 12, 13, 32]] = False
 LETTERS_DIGITS = np.zeros(256, bool)
 LETTERS_DIGITS[48:58] = LETTERS_DIGITS[97:123] = LETTERS_DIGITS[128:] = True
 
-_BYTE_MULT, _WORD_MULT, _WORD_MULT_2 = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
+#: Words of more bytes are hashed by BLAKE2b: sums of powers modulo 2^64 collide for some long words whatever the multiplier.
+LONG_WORD = 64
+_BYTE_MULTS, _WORD_MULT, _WORD_MULT_2 = (0x9E3779B97F4A7C15, 0xC6A4A7935BD1E995), 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,7 +38,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTE_CODE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
+_BYTE_CODES = tuple(mix(np.arange(first, first + 256, dtype=U) * U(0x9E3779B97F4A7C15)) for first in (1, 257))
 
 
 @lru_cache(maxsize=16)
@@ -65,9 +68,31 @@ class Words:
     buf: np.ndarray
     start: np.ndarray
     end: np.ndarray
-    hash: np.ndarray
     first: np.ndarray
 
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return self._word_hashes(0)
+
+    @cached_property
+    def second_hash(self) -> np.ndarray:
+        """A hash of each word with other byte codes and another multiplier."""
+        return self._word_hashes(1)
+
+    def _word_hashes(self, which: int) -> np.ndarray:
+        buf, start, end, codes = self.buf, self.start, self.end, _BYTE_CODES[which]
+        hashes = np.empty(len(start), U)
+        i = 0
+        while i < len(start):
+            j = max(i + 1, int(np.searchsorted(end, start[i] + SEGMENT, "right")))
+            base = start[i]
+            hashes[i:j] = _range_hashes(codes[buf[base : end[j - 1]]], start[i:j] - base, end[i:j] - base, _BYTE_MULTS[which])
+            i = j
+        for i in np.flatnonzero(end - start > LONG_WORD):
+            digest = blake2b(buf[start[i] : end[i]], digest_size=8, salt=bytes([which])).digest()
+            hashes[i] = int.from_bytes(digest, "little")
+        return hashes
+
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -76,8 +101,9 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
     def grams(self, k: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Start positions and hashes of all runs of k words inside one text."""
-        room = np.repeat(self.first[1:], self.counts) - np.arange(len(self.hash))
+        """Start positions and hashes of all runs of k words inside one text; the second hash builds on other word hashes."""
+        hashes, mult = (self.second_hash, _WORD_MULT_2) if second else (self.hash, _WORD_MULT)
+        room = np.repeat(self.first[1:], self.counts) - np.arange(len(self.start))
         at = np.flatnonzero(room >= k)
         if not len(at):
             return at, np.zeros(0, U)
@@ -86,8 +112,8 @@ class Words:
         for lo in range(0, len(at), step):
             part = at[lo : lo + step]
             base = part[0]
-            codes = self.hash[base : part[-1] + k]
-            out[lo : lo + step] = _range_hashes(codes, part - base, part - base + k, _WORD_MULT_2 if second else _WORD_MULT)
+            codes = hashes[base : part[-1] + k]
+            out[lo : lo + step] = _range_hashes(codes, part - base, part - base + k, mult)
         return at, out
 
 
@@ -124,14 +150,7 @@ def words_of(buf: np.ndarray, offsets: np.ndarray, member: np.ndarray, lower: bo
     crossed = joints[(inside[joints] == 1) & (inside[joints + 1] == 1)]
     if len(crossed):
         start, end = np.sort(np.concatenate([start, crossed])), np.sort(np.concatenate([end, crossed]))
-    hashes = np.empty(len(start), U)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + SEGMENT, "right")))
-        base = start[i]
-        hashes[i:j] = _range_hashes(_BYTE_CODE[buf[base : end[j - 1]]], start[i:j] - base, end[i:j] - base, _BYTE_MULT)
-        i = j
-    return Words(buf, start, end, hashes, np.searchsorted(start, offsets))
+    return Words(buf, start, end, np.searchsorted(start, offsets))
 
 
 def winnow(at: np.ndarray, grams: np.ndarray, text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
