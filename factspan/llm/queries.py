@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language_id, lattice, lexical, ngram_join, packing, quality, resampling, secret_scan, shards, substrings, toxicity
+from . import decontaminate, language_id, lattice, lexical, ngram_join, packing, quality, resampling, secret_scan, shards, substrings, suffix_dedup, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,6 +184,37 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
 """
 
 
+@_query
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.deduplicate(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op12_suffix_array_dedup"] = r"""
+WITH docs AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+blocks AS (
+  SELECT doc_id, b, h[1024 * b + 1:1024 * b + 1822] AS part
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 1024 + 1)) AS b FROM docs) AS x),
+win AS (
+  SELECT doc_id, 512 * b + s AS s, md5(part[2 * s + 1:2 * s + 800]) AS g
+  FROM (SELECT doc_id, b, part, unnest(range(0, least(512, length(part) // 2 - 399))) AS s FROM blocks WHERE length(part) >= 800) AS x),
+many AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+starts AS (SELECT doc_id, s, s - row_number() OVER (PARTITION BY doc_id ORDER BY s) AS run FROM win SEMI JOIN many USING (g)),
+runs AS (SELECT doc_id, min(s) AS lo, max(s) + 400 AS hi FROM starts GROUP BY doc_id, run),
+marked AS (SELECT doc_id, lo, hi, CASE WHEN lo <= max(hi) OVER (PARTITION BY doc_id ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM runs),
+numbered AS (SELECT doc_id, lo, hi, sum(fresh) OVER (PARTITION BY doc_id ORDER BY lo) AS span FROM marked),
+spans AS (SELECT doc_id, min(lo) AS lo, max(hi) AS hi FROM numbered GROUP BY doc_id, span),
+gaps AS (
+  SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS lo, lo AS hi FROM spans
+  UNION ALL SELECT doc_id, max(hi), 1000000000 FROM spans GROUP BY doc_id),
+counts AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(h[2 * lo + 1:2 * hi], '' ORDER BY lo) AS kept FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN c.doc_id IS NULL THEN h ELSE coalesce(kept, '') END)) AS kept_sha256
+FROM docs d LEFT JOIN counts c ON d.doc_id = c.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
 @_query
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), most=1)
