@@ -1,41 +1,66 @@
-"""Closures, hierarchies, call relations and caller chains over edge tables."""
+"""Closures, hierarchies and call relations over edge tables."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
-from .core import LOC, top_per_group
+from .core import LOC
+
+
+#: Rounds that a walk takes edge by edge before it builds shortcuts along unbranched paths.
+PLAIN_ROUNDS = 8
+
+
+def _shortcuts(steps: DataFrame, keys: list[str], max_depth: int | None) -> DataFrame:
+    """Jumps of 2, 4, 8, ... edges along paths on which every node has one successor, by pointer doubling."""
+    proper = steps.filter("node <> next")
+    single = proper.groupBy(*keys, "node").agg(F.count("*").alias("n"), F.min("next").alias("next")).filter("n = 1").drop("n")
+    jumps, hops, out = cut_lineage(single), 1, []
+    # A path without repeats has fewer edges than there are nodes; on a cycle the doubling would never end.
+    most = min(single.count(), max_depth or (1 << 30))
+    while 2 * hops <= most:
+        onward = jumps.select(*keys, F.col("node").alias("next"), F.col("next").alias("then"))
+        jumps = cut_lineage(jumps.join(onward, [*keys, "next"]).select(*keys, "node", F.col("then").alias("next")))
+        if jumps.isEmpty():
+            break
+        hops *= 2
+        out.append(jumps.withColumn("hops", F.lit(hops)))
+    return reduce(DataFrame.unionByName, out, steps.withColumn("hops", F.lit(1)))
 
 
 def closure(edges: DataFrame, seeds: DataFrame, src: str, dst: str, max_depth: int | None = None, keys=()) -> DataFrame:
     """Nodes reachable from each seed by src -> dst edges, with their least depth; seeds themselves left out.
 
     ``seeds(target_id, node, *keys)``; edges with the same ``keys`` columns are followed for seeds of equal keys, so
-    several relations are walked in one loop. One join per level; every level is written to the checkpoint folder,
-    so a lost executor costs one level at most and plans stay short.
+    several relations are walked in one loop. A round moves the fresh nodes along their edges and merges them with the state in one
+    grouped exchange, which keeps the least depth and marks what became new or nearer. A walk that is still going after
+    ``PLAIN_ROUNDS`` gets shortcuts along unbranched paths, so a path of n nodes takes some log n rounds more; depths
+    stay exact, as a node that is reached again by fewer edges is moved on again. Each round's state is written to the
+    checkpoint folder, so a lost executor costs one round at most and plans stay short.
     """
     keys = list(keys)
-    state = ["target_id", *keys, "node"]
-    steps = edges.select(*keys, F.col(src).alias("node"), F.col(dst).alias("next")).distinct()
-    start = seeds.select(*state).distinct()
-    frontier, seen, depth = start, start, 0
-    levels = []
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        reached = frontier.join(steps, [*keys, "node"]).select("target_id", *keys, F.col("next").alias("node")).distinct()
-        fresh = cut_lineage(reached.join(seen, state, "left_anti"))
-        if fresh.isEmpty():
+    key = ["target_id", *keys, "node"]
+    steps = cut_lineage(edges.select(*keys, F.col(src).alias("node"), F.col(dst).alias("next")).distinct())
+    moves = steps.withColumn("hops", F.lit(1))
+    state = seeds.select(*key, F.lit(0).alias("depth")).distinct()
+    fresh, rounds = state, 0
+    while max_depth is None or rounds < max_depth:
+        rounds += 1
+        if rounds == PLAIN_ROUNDS + 1:
+            moves = _shortcuts(steps, keys, max_depth)
+        reached = fresh.join(moves, [*keys, "node"]).select("target_id", *keys, F.col("next").alias("node"), (F.col("depth") + F.col("hops")).alias("depth"))
+        if max_depth is not None:
+            reached = reached.filter(F.col("depth") <= max_depth)
+        both = state.select(*key, "depth", F.col("depth").alias("was")).unionByName(reached.withColumn("was", F.lit(None).cast("int")))
+        merged = both.groupBy(*key).agg(F.min("depth").alias("depth"), F.min("was").alias("was"))
+        merged = cut_lineage(merged.select(*key, "depth", (F.col("was").isNull() | (F.col("depth") < F.col("was"))).alias("fresh")))
+        state, fresh = merged.drop("fresh"), merged.filter("fresh").drop("fresh")
+        if rounds != max_depth and fresh.isEmpty():
             break
-        levels.append(fresh.withColumn("depth", F.lit(depth)))
-        seen = seen.unionByName(fresh)
-        frontier = fresh
-    if not levels:
-        return start.withColumn("depth", F.lit(0)).filter(F.lit(False))
-    result = levels[0]
-    for level in levels[1:]:
-        result = result.unionByName(level)
-    return result
+    return state.filter("depth > 0").select(*key, "depth")
 
 
 def walk_relations(seeds: DataFrame, type_edges: DataFrame, relations: dict[str, tuple[list[str], bool]]) -> DataFrame:
@@ -129,52 +154,6 @@ def call_groups(calls: DataFrame, other: str) -> DataFrame:
     return grouped.select("target_id", other, "location_count", "first.*")
 
 
-def upstream_chains(targets: DataFrame, call_edges: DataFrame, places: DataFrame, depth: int = 3, limit: int = 20) -> DataFrame:
-    """Caller chains of each target, shortest first, then by the place of their last symbol.
-
-    ``places(symbol_id, path, line, column)``. A chain ends at a repeated symbol, past ``depth`` steps, or where
-    nobody calls it. Chains are finished shortest first, so a target that has ``limit`` finished chains needs no
-    longer ones: its open chains are dropped, which changes nothing in the result.
-    """
-    steps = call_edges.select(F.col("callee_id").alias("last"), F.col("caller_id").alias("next")).distinct()
-    open_chains = targets.select("target_id", F.array("symbol_id").alias("chain"), F.col("symbol_id").alias("last"))
-    done = None
-    for length in range(1, depth + 2):
-        earlier = F.slice("chain", 1, F.size("chain") - 1)
-        repeated = F.array_contains(earlier, F.col("last"))
-        marked = open_chains.withColumn(
-            "end_reason", F.when(repeated, "cycle-detected").when(F.lit(length > depth), "depth-limit")
-        )
-        finished = marked.filter(F.col("end_reason").isNotNull())
-        going = marked.filter(F.col("end_reason").isNull()).drop("end_reason")
-        if length <= depth:
-            stepped = going.join(steps, "last", "left")
-            ended = stepped.filter(F.col("next").isNull()).withColumn("end_reason", F.lit("no-upstream-callers"))
-            finished = finished.unionByName(ended.select(*finished.columns))
-        finished = cut_lineage(finished.withColumn("chain_length", F.lit(length)))
-        done = finished if done is None else done.unionByName(finished)
-        if length > depth:
-            break
-        extended = stepped.filter(F.col("next").isNotNull()).select(
-            "target_id", F.concat("chain", F.array("next")).alias("chain"), F.col("next").alias("last")
-        )
-        full = done.groupBy("target_id").count().filter(F.col("count") >= limit).select("target_id")
-        open_chains = cut_lineage(extended.join(full, "target_id", "left_anti"))
-        if open_chains.isEmpty():
-            break
-    located = done.join(places.withColumnRenamed("symbol_id", "last"), "last", "left")
-    order = ["chain_length", "path", "line", "column", "chain"]
-    return top_per_group(located, ["target_id"], order, limit).withColumnRenamed("last", "terminal_id")
-
-
-def annotate_chains(chains: DataFrame, entrypoints: DataFrame) -> DataFrame:
-    """Chains whose last symbol sits on a framework entrypoint get that end reason and the entrypoint's kind."""
-    places = entrypoints.groupBy("path", "line", "column").agg(F.min("entrypoint_kind").alias("entrypoint_kind"))
-    joined = chains.join(places, ["path", "line", "column"], "left")
-    reason = F.when(F.col("entrypoint_kind").isNotNull(), "framework-entrypoint").otherwise(F.col("end_reason"))
-    return joined.withColumn("end_reason", reason)
-
-
 def search_scope(targets: DataFrame, project_edges: DataFrame, documents: DataFrame, scope: str) -> DataFrame:
     """Documents to search per target: its file, its project, dependent projects, or everything.
 

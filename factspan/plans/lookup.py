@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import graph, impact, ranking, spans, usage
+from ..operators import chains, graph, impact, ranking, spans, usage
 from ..operators.core import LOC, bounded_section, top_per_group
 from ..session import cut_lineage
 
@@ -108,4 +108,4 @@ def entrypoints(
     callable_ = decls.filter(F.col("kind").isin("Method", "Property", "Event")).select("symbol_id")
     asked = chosen.join(callable_, "symbol_id", "left_semi")
     places = decls.select("symbol_id", "path", "line", "column")
-    return graph.annotate_chains(graph.upstream_chains(asked, call_edges, places, depth, limit), framework_entrypoints)
+    return chains.annotate_chains(chains.upstream_chains(asked, call_edges, places, depth, limit), framework_entrypoints)

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from factspan.functions import names, paths
-from factspan.operators import budget, evals, filters, graph, impact, injection
+from factspan.operators import budget, chains, evals, filters, graph, impact, injection
 
 ITEMS = (
     "pack_id string, item_id string, kind string, reason_codes array<string>, lines array<string>, path string, line int, column int, end_line int, end_column int"
@@ -96,9 +96,9 @@ def test_chains(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("a", "c"), ("e", "a")], "caller_id string, callee_id string")
     places = spark.createDataFrame([(s, f"{s}.cs", 1, 1) for s in "abce"], "symbol_id string, path string, line int, column int")
     asked = spark.createDataFrame([("t", "a")], "target_id string, symbol_id string")
-    got = {("".join(r.chain), r.end_reason) for r in graph.upstream_chains(asked, edges, places).collect()}
+    got = {("".join(r.chain), r.end_reason) for r in chains.upstream_chains(asked, edges, places).collect()}
     assert got == {("ae", "no-upstream-callers"), ("abca", "cycle-detected")}
-    short = {("".join(r.chain), r.end_reason) for r in graph.upstream_chains(asked, edges, places, depth=1).collect()}
+    short = {("".join(r.chain), r.end_reason) for r in chains.upstream_chains(asked, edges, places, depth=1).collect()}
     assert short == {("ae", "depth-limit"), ("ab", "depth-limit")}
 
 

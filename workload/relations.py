@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factspan.operators import core, filters, graph, impact, usage
+from factspan.operators import chains, core, filters, graph, impact, usage
 from factspan.plans import lookup as plans
 
 from .registry import query
@@ -183,7 +183,7 @@ SELECT_RESULT
 SELECT target_id, chain, end_reason, position, last AS terminal_id FROM placed WHERE position <= 12""")
 def _(f):
     places = f.f_decls.select("symbol_id", "path", "line", "column")
-    return graph.upstream_chains(f.f_asked, f.f_calls, places, depth=3, limit=12)
+    return chains.upstream_chains(f.f_asked, f.f_calls, places, depth=3, limit=12)
 
 
 @query("entrypoint_chains", "target_id s, chain a, end_reason s, entrypoint_kind s, position i", f"""
