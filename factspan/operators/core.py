@@ -129,23 +129,48 @@ def location_heads(edges: DataFrame, keys, loc=LOC, limit: int = 5) -> DataFrame
     return join_null_safe(counts, heads, list(keys)).withColumn("first_location", F.col("first_locations")[0])
 
 
-def fingerprint(df: DataFrame, group, cols, length: int = 64) -> DataFrame:
-    """Digest of a group's rows that any changed, added or removed row changes; row order has no effect.
+#: Bytes of lines up to which a group's digest is taken over its joined lines, and digests that one digest of a larger group covers.
+PLAIN_BYTES = 8 << 20
+RUN = 4096
 
-    Each row's SHA-256 is cut into eight 32-bit words which are summed, so the aggregate is partial on the map
-    side and a hot group is never gathered; the digest is taken over the sums and the count.
+
+def fingerprint(df: DataFrame, group, cols, length: int = 64, order=None, head=(), plain_bytes: int = PLAIN_BYTES, run: int = RUN) -> DataFrame:
+    """SHA-256 over a group's rows in a fixed order; ``form`` says which of two.
+
+    plain: the digest of the group's lines, joined by line feeds: first the ``head`` columns (alike in all rows of a group), then each
+    row's ``cols`` joined by ``|`` with nulls as empty texts, in ``order`` (by default ``cols``), equal ones by line.
+    merkle: groups of more than ``plain_bytes``, which no task could hold. Every line's digest gets its place in the order; each
+    ``run`` of them by place becomes the digest of their list, and so on up to one root, which is digested below the head lines.
+    A list of one is its entry. Either form depends on nothing but the group's rows.
     """
-    group = list(group)
-    row = F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), 256)
-    words = [
-        F.conv(F.substring("__row", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)") for i in range(8)
-    ]
-    sums = [F.sum(w).alias(f"__w{i}") for i, w in enumerate(words)]
-    hashed = df.select(*group, row.alias("__row"))
-    grouped = hashed.groupBy(*group).agg(F.count("*").alias("row_count"), *sums)
-    text = F.concat_ws(":", F.col("row_count").cast("string"), *[F.col(f"__w{i}").cast("string") for i in range(8)])
-    digest = F.substring(F.sha2(text, 256), 1, length)
-    return grouped.select(*group, "row_count", digest.alias("fingerprint"))
+    group, head = list(group), list(head)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    line = F.concat_ws("|", *[text(c) for c in cols])
+    key = F.struct(*[F.col(c).alias(f"o{n}") for n, c in enumerate(order or cols)], line.alias("line"))
+    rows = df.select(*group, *[text(c).alias(f"__h{n}") for n, c in enumerate(head)], key.alias("__key"))
+    heads = [f"__h{n}" for n in range(len(head))]
+    joined = lambda items: F.array_join(items, "\n")
+    size = F.sum(F.octet_length("__key.line").cast("long") + 1)
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("row_count"), size.alias("__bytes"), *[F.min(h).alias(h) for h in heads])
+    large = cut_lineage(sizes.filter(F.col("__bytes") > plain_bytes))
+    most = large.agg(F.max("row_count")).first()[0]
+    small = rows if most is None else join_null_safe(rows, large.select(*group), group, "left_anti") if group else rows.limit(0)
+    listed = F.transform(F.array_sort(F.collect_list("__key")), lambda k: k["line"])
+    plain = small.groupBy(*group).agg(F.count("*").alias("row_count"), joined(listed).alias("__lines"), *[F.min(h).alias(h) for h in heads])
+    digest = lambda body: F.substring(F.sha2(F.concat_ws("\n", *heads, body), 256), 1, length).alias("fingerprint")
+    out = plain.filter("row_count > 0").select(*group, "row_count", digest(F.col("__lines")), F.lit("plain").alias("form"))
+    if most is None:
+        return out
+    ranked = number_rows(join_null_safe(rows, large.select(*group), group, "left_semi") if group else rows, group, "__key", "__place")
+    nodes = ranked.select(*group, (F.col("__place") - 1).alias("__place"), F.sha2("__key.line", 256).alias("__item"))
+    while most > 1:
+        entries = F.array_sort(F.collect_list(F.struct("__place", "__item")))
+        merged = F.when(F.count("*") == 1, F.min("__item")).otherwise(F.sha2(joined(F.transform(entries, lambda e: e["__item"])), 256))
+        parents = nodes.withColumn("__parent", F.expr(f"__place div {run}")).groupBy(*group, "__parent")
+        nodes = parents.agg(merged.alias("__item")).withColumnRenamed("__parent", "__place")
+        most = -(-most // run)
+    roots = join_null_safe(nodes.drop("__place"), large, group) if group else nodes.drop("__place").join(large)
+    return out.unionByName(roots.select(*group, "row_count", digest(F.col("__item")), F.lit("merkle").alias("form")))
 
 
 def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -72,7 +72,8 @@ def manifest(docs: DataFrame) -> DataFrame:
 
 
 def workspace_fingerprints(docs: DataFrame) -> DataFrame:
-    return fingerprint(manifest(docs), ["repo"], ["path", "length", "sha256"])
+    """Digest of each workspace's name and its tracked files (path, length, digest) in the order of their paths."""
+    return fingerprint(manifest(docs), ["repo"], ["path", "length", "sha256"], order=["path"], head=["repo"])
 
 
 def write_manifest(docs: DataFrame, folder: str) -> None:

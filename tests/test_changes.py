@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -126,3 +127,35 @@ def test_fingerprint_ignores_order_and_sees_changes(spark):
     assert make([("g", "a"), ("g", "b")]) == make([("g", "b"), ("g", "a")])
     assert make([("g", "a"), ("g", "b")]) != make([("g", "a"), ("g", "c")])
     assert make([("g", "a")]) != make([("g", "a"), ("g", "a")])
+
+
+def _merkle(items, run):
+    items = [hashlib.sha256(x.encode()).hexdigest() for x in items]
+    while len(items) > 1:
+        runs = [items[i : i + run] for i in range(0, len(items), run)]
+        items = [r[0] if len(r) == 1 else hashlib.sha256("\n".join(r).encode()).hexdigest() for r in runs]
+    return items[0]
+
+
+def test_fingerprints_are_digests_of_the_ordered_lines(spark):
+    draw = random.Random(2)
+    rows = [(g, i, draw.choice(["x", "y|z", None, "w" * 50])) for g, n in (("a", 1), ("b", 7), ("c", 700), (None, 90)) for i in draw.sample(range(1000), n)]
+    rows.append(rows[-1])
+    make = lambda table, **how: {r.g: (r.form, r.fingerprint) for r in core.fingerprint(table, ["g"], ["v", "i"], order=["i"], head=["g"], **how).collect()}
+    table = lambda rows: spark.createDataFrame(rows, "g string, i int, v string").repartition(3)
+    lines = {g: [f"{v or ''}|{i}" for i, v in sorted((i, v or "") for k, i, v in rows if k == g)] for g in ("a", "b", "c", None)}
+    sha = lambda *x: hashlib.sha256("\n".join(x).encode()).hexdigest()
+    assert make(table(rows)) == {g: ("plain", sha(g or "", *own)) for g, own in lines.items()}
+    # Groups beyond the bound get a root over runs of three; the others keep their plain digest.
+    bound = sum(len(x) + 1 for x in lines[None]) - 1
+    want = {g: ("merkle", sha(g or "", _merkle(own, 3))) if g in ("c", None) else ("plain", sha(g, *own)) for g, own in lines.items()}
+    assert make(table(rows), plain_bytes=bound, run=3) == want
+
+
+def test_a_swap_of_two_rows_changes_the_fingerprint(spark):
+    rows = [(i, f"v{i}") for i in range(200)]
+    swapped = [*rows[:100], (100, "v101"), (101, "v100"), *rows[102:]]
+    for how in ({}, {"plain_bytes": 10, "run": 7}):
+        one, two = (core.fingerprint(spark.createDataFrame(r, "i int, v string"), [], ["v"], order=["i"], **how).collect() for r in (rows, swapped))
+        assert len(one) == len(two) == 1 and one[0].row_count == 200 and one[0].fingerprint != two[0].fingerprint
+    assert core.fingerprint(spark.createDataFrame([], "i int, v string"), [], ["v"]).count() == 0

@@ -301,18 +301,33 @@ def _(f):
     return core.stable_order(f.f_decls.select("project", "path", "line", "symbol_id"), ["project", "path", "line", "symbol_id"])
 
 
-@query("fingerprints", "path s, row_count i, fingerprint s", """
-WITH h AS (SELECT path, sha256(concat_ws(chr(31), target_symbol_id, usage_kind, CAST(line AS VARCHAR), CAST(column_no AS VARCHAR))) AS x FROM f_refs),
-w AS (SELECT path, count(*) AS n, %s FROM h GROUP BY path)
-SELECT_RESULT
-SELECT path, n AS row_count, substr(sha256(concat_ws(':', CAST(n AS VARCHAR), %s)), 1, 16) AS fingerprint FROM w""" % (
-    ", ".join(f"sum(CAST(concat('0x', substr(x, {1 + 8 * i}, 8)) AS BIGINT)) AS w{i}" for i in range(8)),
-    ", ".join(f"CAST(w{i} AS VARCHAR)" for i in range(8)),
-))
+LINE = "concat_ws('|', target_symbol_id, usage_kind, CAST(line AS VARCHAR), CAST(column_no AS VARCHAR))"
+
+
+@query("fingerprints", "path s, row_count i, fingerprint s, form s", f"""
+SELECT path, count(*) AS row_count, substr(sha256(string_agg({LINE}, chr(10) ORDER BY target_symbol_id, usage_kind, line, column_no)), 1, 16) AS fingerprint, 'plain' AS form
+FROM f_refs GROUP BY path""")
 def _(f):
     return core.fingerprint(f.f_refs, ["path"], ["target_symbol_id", "usage_kind", "line", "column"], 16)
 
 
+def _merkle_level(source: str) -> str:
+    return f"""SELECT usage_kind, place // 64 AS place, CASE WHEN count(*) = 1 THEN min(item) ELSE sha256(string_agg(item, chr(10) ORDER BY place)) END AS item
+  FROM {source} GROUP BY usage_kind, place // 64"""
+
+
+@query("merkle_fingerprints", "usage_kind s, row_count i, fingerprint s, form s", f"""
+WITH leaves AS (
+  SELECT usage_kind, sha256({LINE}) AS item, row_number() OVER (PARTITION BY usage_kind ORDER BY path, line, column_no, end_line, end_column, {LINE}) - 1 AS place FROM f_refs),
+m1 AS ({_merkle_level('leaves')}), m2 AS ({_merkle_level('m1')}), m3 AS ({_merkle_level('m2')}), m4 AS ({_merkle_level('m3')}),
+counts AS (SELECT usage_kind, count(*) AS row_count FROM f_refs GROUP BY usage_kind)
+SELECT_RESULT
+SELECT usage_kind, row_count, sha256(concat(usage_kind, chr(10), item)) AS fingerprint, 'merkle' AS form FROM m4 JOIN counts USING (usage_kind)""")
+def _(f):
+    order = ["path", "line", "column", "end_line", "end_column"]
+    return core.fingerprint(f.f_refs, ["usage_kind"], ["target_symbol_id", "usage_kind", "line", "column"], order=order, head=["usage_kind"], plain_bytes=0, run=64)
+
+
 SCOPE_TARGETS = "SELECT n_name AS target_id, 'r' AS repo, n_name AS project, min(c_name) AS path FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name"
 SCOPE_EDGES = (
     "SELECT 'r' AS repo, a.n_name AS from_project, b.n_name AS to_project FROM nation a JOIN nation b ON b.n_nationkey = CAST((a.n_nationkey - a.n_nationkey % 2) / 2 AS BIGINT) WHERE a.n_nationkey > 0"

@@ -89,6 +89,13 @@ def _(f):
     return documents.manifest(_dated(f))
 
 
+@query("workspace_fingerprints", "repo s, row_count i, fingerprint s", """
+SELECT repo, count(*) AS row_count, sha256(concat(repo, chr(10), string_agg(concat_ws('|', path, CAST(length(text) AS VARCHAR), sha256(text)), chr(10) ORDER BY path, concat_ws('|', path, CAST(length(text) AS VARCHAR), sha256(text))))) AS fingerprint
+FROM f_docs GROUP BY repo""")
+def _(f):
+    return documents.workspace_fingerprints(_dated(f))
+
+
 STATUS = """
 SELECT concat(n_name, '') AS repo, 1 + n_nationkey % 2 AS schema_version, concat('/w/', n_name) AS path, concat('f', CAST(n_regionkey AS {s})) AS fingerprint FROM nation"""
 CACHED = """
