@@ -37,8 +37,8 @@ GRAM = 32
 WIDTH = SPAN - GRAM + 1
 #: Window starts that are anchored at once; a place in a segment takes 20 bits.
 SEGMENT = 1 << 19
-BUCKET_BYTES = 4 << 20
-CROWDED = 2 << 20
+BUCKET_BYTES = 1 << 20
+CROWDED = 1 << 20
 #: Pieces that a task remembers, to send their bytes once.
 REMEMBERED = 500_000
 #: Crowded anchors up to this number are sent to every task; beyond it they are joined by shuffle.
