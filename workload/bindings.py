@@ -107,26 +107,26 @@ VIEWS["f_diags"] = """
   FROM f_points
 """
 
-# Changes: the hours of each event type with errors, as new-side line ranges of a user's day.
+# Changes: the events of each type, as new-side line ranges of a user's day.
 VIEWS["f_hunks"] = """
   SELECT concat('c-', event_type) AS change_id, path, line AS new_start, CAST(event_id % 6 AS INT) AS new_count
-  FROM f_points WHERE event_type = 'error' OR event_type = 'purchase'
+  FROM f_points
 """
 VIEWS["f_files"] = """
   SELECT change_id, path, CASE WHEN min(new_count) = 0 AND max(new_count) > 3 THEN 'deleted' ELSE 'modified' END AS status
   FROM f_hunks GROUP BY change_id, path
 """
 
-# Uses between the spans: views refer to, and clicks call, the day of another user; hours implement quarters.
+# Uses between the spans: every event refers to, and calls, the day of another user; hours implement quarters.
 VIEWS["f_span_refs"] = """
   SELECT concat('u', CAST((user_id * 3 + 1) % 150 AS VARCHAR(20)), '/', split_part(path, '/', 2), '#d0') AS target_symbol_id, 'read' AS usage_kind, 'App' AS project,
          path, line, column_no, line AS end_line, CAST(column_no + 4 AS INT) AS end_column
-  FROM f_points WHERE event_type = 'view'
+  FROM f_points
 """
 VIEWS["f_span_calls"] = """
   SELECT concat(path, '#h', CAST(CAST(floor(line / 60) AS INT) AS VARCHAR(20))) AS caller_id, concat('u', CAST((user_id * 3 + 1) % 150 AS VARCHAR(20)), '/', split_part(path, '/', 2), '#d0') AS callee_id,
          path, line, column_no, line AS end_line, CAST(column_no + 4 AS INT) AS end_column
-  FROM f_points WHERE event_type = 'click'
+  FROM f_points
 """
 VIEWS["f_span_types"] = """
   SELECT symbol_id AS child_id, concat(path, '#q', CAST(CAST(floor(line / 360) AS INT) AS VARCHAR(20))) AS parent_id, 'implements' AS edge_kind FROM f_spans WHERE kind = 'Property'
@@ -169,7 +169,7 @@ VIEWS["f_regs"] = """
          concat('T', CAST(l_partkey % 700 AS VARCHAR(20))) AS first_type,
          CASE WHEN l_partkey % 3 = 0 THEN concat('T', CAST(l_partkey AS VARCHAR(20))) ELSE NULL END AS second_type,
          concat('src/s', CAST(l_suppkey AS VARCHAR(20)), '.cs') AS path, CAST(l_partkey AS INT) AS line
-  FROM lineitem WHERE l_returnflag = 'R'
+  FROM lineitem
 """
 VIEWS["f_ctors"] = """
   SELECT DISTINCT concat('T', CAST(l_partkey AS VARCHAR(20))) AS type_id, CAST(l_linenumber AS INT) AS ctor_ordinal,
@@ -178,7 +178,7 @@ VIEWS["f_ctors"] = """
          concat('p', CAST(l_suppkey % 4 AS VARCHAR(20))) AS name,
          CASE WHEN l_suppkey % 5 = 0 THEN 'Microsoft.Extensions.Logging.ILogger' ELSE concat('T', CAST((l_partkey * 3 + l_suppkey) % 900 AS VARCHAR(20))) END AS type_fqn,
          CAST(l_suppkey % 4 AS INT) AS ordinal
-  FROM lineitem WHERE l_returnflag <> 'A'
+  FROM lineitem
 """
 # Tables of text lines.
 VIEWS["f_docs"] = """

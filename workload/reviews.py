@@ -200,7 +200,7 @@ SUBJECTS = """
 SELECT concat('b', CAST(item_id AS {0})) AS subject_id, substr(split_part(text, ' ', 6), 1, 3) AS name, CASE WHEN item_id % 2 = 0 THEN 'NamedType' ELSE 'Method' END AS kind, concat('N.', replace(substr(split_part(text, ' ', 8), 1, 4), '.', '')) AS container FROM benchmark"""
 RANKED = f"""
 t AS (SELECT *, CASE ak WHEN 0 THEN 'xunit' WHEN 1 THEN 'nunit' ELSE 'mstest' END AS framework FROM ({TESTS.format('VARCHAR')}) x WHERE ak < 3), s AS ({SUBJECTS.format('VARCHAR')}),
-refs AS (SELECT DISTINCT concat('b', CAST(conv_id % 40 AS VARCHAR)) AS subject_id, concat('tests/', CAST(conv_id AS VARCHAR), '/', split_part(text, ' ', 5), '.cs') AS path FROM conversations WHERE turn = 1),
+refs AS (SELECT DISTINCT concat('b', CAST(conv_id % 40 AS VARCHAR)) AS subject_id, concat('tests/', CAST(conv_id AS VARCHAR), '/', split_part(text, ' ', 5), '.cs') AS path FROM conversations),
 marks AS (SELECT subject_id, t.*, EXISTS (SELECT 1 FROM refs r WHERE r.subject_id = s.subject_id AND r.path = t.path) AS m1,
    s.tn <> '' AND (contains(lower(t.container), s.tn) OR contains(lower(t.name), s.tn)) AS m2, s.nn <> '' AND contains(lower(t.path), s.nn) AS m3
   FROM (SELECT subject_id, lower(CASE WHEN kind = 'NamedType' THEN name ELSE substr(container, 3) END) AS tn, lower(name) AS nn FROM s) s, t),
@@ -218,7 +218,7 @@ def tests(f):
 
 
 def ranked_tests(f):
-    refs = f.sql("SELECT concat('b', CAST(conv_id % 40 AS STRING)) AS subject_id, concat('tests/', CAST(conv_id AS STRING), '/', split_part(text, ' ', 5), '.cs') AS path FROM conversations WHERE turn = 1")
+    refs = f.sql("SELECT concat('b', CAST(conv_id % 40 AS STRING)) AS subject_id, concat('tests/', CAST(conv_id AS STRING), '/', split_part(text, ' ', 5), '.cs') AS path FROM conversations")
     return impact.rank_tests(tests(f), f.sql(SUBJECTS.format("STRING")), refs)
 
 
@@ -331,7 +331,7 @@ def _(f):
 
 ADOPTION = """
 WITH r AS (SELECT CAST(c_custkey AS VARCHAR) AS repo, c_custkey % 11 <> 0 AS cloned FROM customer),
-a AS (SELECT CAST(o_custkey AS VARCHAR) AS repo, o_orderkey % 4 = 0 AS fb, max(ROW(o_orderkey % 5 <> 0, o_orderkey % 3 <> 0, o_orderkey % 2 = 0)) AS m FROM orders WHERE o_orderkey % 3 <> 1 AND o_orderkey < 3 * o_custkey GROUP BY ALL),
+a AS (SELECT CAST(o_custkey AS VARCHAR) AS repo, o_orderkey % 4 = 0 AS fb, max(ROW(o_orderkey % 5 <> 0 AND fits, o_orderkey % 3 <> 0 AND fits, o_orderkey % 2 = 0 AND fits)) AS m FROM (SELECT *, o_orderkey % 3 <> 1 AND o_orderkey < 3 * o_custkey AS fits FROM orders) o GROUP BY ALL),
 j AS (SELECT r.repo, cloned, p.m AS pm, x.m AS xm FROM r LEFT JOIN a p ON p.repo = r.repo AND NOT p.fb LEFT JOIN a x ON x.repo = r.repo AND x.fb),
 u AS (SELECT *, pm IS NOT NULL AND xm IS NOT NULL AND NOT pm[3] AND (xm[3] OR (NOT pm[2] AND xm[2])) AS used FROM j),
 e AS (SELECT *, CASE WHEN used THEN xm ELSE pm END AS m FROM u),
@@ -348,8 +348,8 @@ def _(f):
 def _adoption(f):
     repos = f.sql("SELECT CAST(c_custkey AS STRING) AS repo, c_custkey % 11 <> 0 AS cloned FROM customer")
     attempts = f.sql(
-        "SELECT CAST(o_custkey AS STRING) AS repo, CASE WHEN o_orderkey % 4 = 0 THEN 'fallback' ELSE 'primary' END AS role, o_orderkey % 5 <> 0 AS doctor_ok, o_orderkey % 3 <> 0 AS target_ok, o_orderkey % 2 = 0 AS prepare_ok "
-        "FROM orders WHERE o_orderkey % 3 <> 1 AND o_orderkey < 3 * o_custkey"
+        "SELECT CAST(o_custkey AS STRING) AS repo, CASE WHEN o_orderkey % 4 = 0 THEN 'fallback' ELSE 'primary' END AS role, o_orderkey % 5 <> 0 AND fits AS doctor_ok, o_orderkey % 3 <> 0 AND fits AS target_ok, o_orderkey % 2 = 0 AND fits AS prepare_ok "
+        "FROM (SELECT *, o_orderkey % 3 <> 1 AND o_orderkey < 3 * o_custkey AS fits FROM orders) o"
     )
     return evals.adoption_status(repos, attempts)
 

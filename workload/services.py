@@ -270,7 +270,7 @@ def _calls(f, *names_):
 OPTIONS = f"""
 calls AS ({CALL_SQL.format('VARCHAR')}),
 oc AS (SELECT *, concat('O', CAST(sk % 40 AS VARCHAR)) AS option_type FROM calls WHERE method_name IN ('Configure', 'Bind', 'ValidateOnStart') AND ok % 6 <> 0),
-pars AS (SELECT DISTINCT concat('T', CAST(p_partkey % 300 AS VARCHAR)) AS type_id, concat('O', CAST(p_size AS VARCHAR)) AS option_type, concat('src/', CAST(p_partkey % 50 AS VARCHAR), '.cs') AS path, CAST(p_size AS INT) AS line FROM part WHERE p_size > 30),
+pars AS (SELECT DISTINCT concat('T', CAST(p_partkey % 300 AS VARCHAR)) AS type_id, concat('O', CAST(p_size AS VARCHAR)) AS option_type, concat('src/', CAST(p_partkey % 50 AS VARCHAR), '.cs') AS path, CAST(p_size AS INT) AS line FROM part),
 facts AS (
   SELECT DISTINCT CASE method_name WHEN 'ValidateOnStart' THEN 'validation' ELSE 'binding' END AS section, option_type, CASE method_name WHEN 'Configure' THEN 'configure' WHEN 'Bind' THEN 'bind' ELSE method_name END AS detail, NULL AS consumer, path, line, column_no AS col FROM oc
   UNION ALL SELECT 'consumer', option_type, 'IOptions', type_id, path, line, 1 FROM pars
@@ -280,7 +280,7 @@ facts AS (
 def options(f):
     pars = f.sql(
         "SELECT DISTINCT concat('T', CAST(p_partkey % 300 AS STRING)) AS type_id, concat('Microsoft.Extensions.Options.IOptions<O', CAST(p_size AS STRING), '>') AS type_fqn, 'App' AS project, "
-        "concat('src/', CAST(p_partkey % 50 AS STRING), '.cs') AS path, CAST(p_size AS INT) AS line, 1 AS column_no, 1 AS end_line, 1 AS end_column FROM part WHERE p_size > 30"
+        "concat('src/', CAST(p_partkey % 50 AS STRING), '.cs') AS path, CAST(p_size AS INT) AS line, 1 AS column_no, 1 AS end_line, 1 AS end_column FROM part"
     )
     return domains.options_facts(calls(f), pars)
 
@@ -344,9 +344,9 @@ def _(f):
 
 
 EF = f"""{INHERIT}, calls AS ({CALL_SQL.format('VARCHAR')}),
-props AS (SELECT concat('T', CAST(p_partkey % 100 AS VARCHAR)) AS type_id, concat(p_name, CAST(p_partkey AS VARCHAR)) AS name, concat('E', CAST(p_size AS VARCHAR)) AS entity, concat('src/p', CAST(p_partkey % 10 AS VARCHAR), '.cs') AS path, CAST(p_partkey AS INT) AS line FROM part WHERE p_partkey % 2 = 0),
+props AS (SELECT concat('T', CAST(p_partkey % 100 AS VARCHAR)) AS type_id, concat(p_name, CAST(p_partkey AS VARCHAR)) AS name, concat('E', CAST(p_size AS VARCHAR)) AS entity, concat('src/p', CAST(p_partkey % 10 AS VARCHAR), '.cs') AS path, CAST(p_partkey AS INT) AS line FROM part),
 sets AS (SELECT p.* FROM props p WHERE type_id IN (SELECT c FROM inh WHERE root = 'XDbContext')),
-cfg AS (SELECT concat('T', CAST(s_suppkey AS VARCHAR)) AS type_id, concat('E', CAST(s_nationkey AS VARCHAR)) AS entity FROM supplier WHERE s_suppkey % 4 = 0),
+cfg AS (SELECT concat('T', CAST(s_suppkey AS VARCHAR)) AS type_id, concat('E', CAST(s_nationkey AS VARCHAR)) AS entity FROM supplier),
 q AS (SELECT DISTINCT method_name, concat('E', CAST(sk % 25 AS VARCHAR)) AS entity, concat('M', CAST(pk AS VARCHAR)) AS owner, path, line, column_no FROM calls WHERE ok % 3 = 0),
 facts AS (
   SELECT 'context' AS section, concat('T', CAST(s_suppkey AS VARCHAR)) AS name, NULL AS entity, NULL AS owner, CAST(NULL AS INT) AS line FROM supplier WHERE concat('T', CAST(s_suppkey AS VARCHAR)) IN (SELECT c FROM inh WHERE root = 'XDbContext')
@@ -357,9 +357,9 @@ facts AS (
 def ef(f):
     props = f.sql(
         "SELECT concat('T', CAST(p_partkey % 100 AS STRING)) AS type_id, concat(p_name, CAST(p_partkey AS STRING)) AS name, 'DbSet' AS type_name, array(concat('E', CAST(p_size AS STRING))) AS type_args, 'App' AS project, "
-        "concat('src/p', CAST(p_partkey % 10 AS STRING), '.cs') AS path, CAST(p_partkey AS INT) AS line, 1 AS column_no, 1 AS end_line, 1 AS end_column FROM part WHERE p_partkey % 2 = 0"
+        "concat('src/p', CAST(p_partkey % 10 AS STRING), '.cs') AS path, CAST(p_partkey AS INT) AS line, 1 AS column_no, 1 AS end_line, 1 AS end_column FROM part"
     )
-    cfg = f.sql("SELECT concat('T', CAST(s_suppkey AS STRING)) AS type_id, 'IEntityTypeConfiguration' AS interface_name, array(concat('E', CAST(s_nationkey AS STRING))) AS type_args, 'App' AS project FROM supplier WHERE s_suppkey % 4 = 0")
+    cfg = f.sql("SELECT concat('T', CAST(s_suppkey AS STRING)) AS type_id, 'IEntityTypeConfiguration' AS interface_name, array(concat('E', CAST(s_nationkey AS STRING))) AS type_args, 'App' AS project FROM supplier")
     return domains.ef_facts(types(f), type_edges(f), props, cfg, calls(f))
 
 
@@ -381,7 +381,7 @@ def _(f):
 
 
 ENTRY = f"""{ACTIONS},
-hosted AS (SELECT concat('T', CAST(s_suppkey AS VARCHAR)) AS c FROM supplier WHERE s_suppkey % 6 = 0),
+hosted AS (SELECT concat('T', CAST(s_suppkey AS VARCHAR)) AS c FROM supplier),
 mw AS (SELECT DISTINCT concat('T', CAST(sk AS VARCHAR)) AS c FROM calls WHERE method_name = 'UseMiddleware'),
 inv AS (SELECT type_id, (min(ROW(name, path, line, method_id)))[4] AS method_id FROM me WHERE name = 'InvokeAsync' AND type_id IN (SELECT c FROM mw) GROUP BY type_id),
 eps AS (
@@ -401,7 +401,7 @@ WITH RECURSIVE {ENTRY}
 SELECT_RESULT
 SELECT * FROM eps""")
 def _(f):
-    hosted = f.sql("SELECT concat('T', CAST(s_suppkey AS STRING)) AS type_id, 'IHostedService' AS interface_name FROM supplier WHERE s_suppkey % 6 = 0")
+    hosted = f.sql("SELECT concat('T', CAST(s_suppkey AS STRING)) AS type_id, 'IHostedService' AS interface_name FROM supplier")
     web = f.sql("SELECT concat('App', CAST(r_regionkey AS STRING)) AS project FROM region WHERE r_regionkey IN (1, 2)")
     tests = methods(f).filter(F.col("line") % 12 == 5).withColumn("framework", F.lit("xunit"))
     found = domains.framework_entrypoints(types(f), methods(f), calls(f), type_edges(f), hosted, tests, web)
@@ -412,7 +412,7 @@ def _(f):
 
 
 @query("package_usage", "target_id s, usage_kind s, namespace s, confidence s, reason s, line i", """
-WITH asked AS (SELECT DISTINCT p_brand AS target_id, concat(p_type, '.', p_brand, '.Core') AS package, CASE WHEN p_size % 2 = 0 THEN concat(substr(p_type, 1, 4)) END AS hint FROM part WHERE p_size < 3),
+WITH asked AS (SELECT DISTINCT p_brand AS target_id, concat(p_type, '.', p_brand, '.Core') AS package, CASE WHEN p_size % 2 = 0 THEN concat(substr(p_type, 1, 4)) END AS hint FROM part),
 hints AS (SELECT DISTINCT target_id, coalesce(hint, concat(split_part(package, '.', 1), '.', split_part(package, '.', 2))) AS hint, CASE WHEN hint IS NULL THEN 'low' ELSE 'medium' END AS confidence,
   CASE WHEN hint IS NULL THEN 'package-namespace-guess' ELSE 'package-namespace-hint' END AS reason FROM asked),
 uses AS (SELECT concat(CASE WHEN p_partkey % 3 = 0 THEN 'Root.' ELSE '' END, p_type, '.', p_brand, '.', split_part(p_name, ' ', 1)) AS namespace, CAST(p_partkey AS INT) AS line FROM part),
@@ -421,8 +421,8 @@ SELECT_RESULT
 SELECT DISTINCT target_id, 'package-reference' AS usage_kind, upper(package) AS namespace, 'high' AS confidence, 'package-reference' AS reason, CAST(NULL AS INT) AS line FROM asked
 UNION ALL SELECT target_id, 'using-directive', m.namespace, confidence, reason, line FROM matched m JOIN uses u ON u.namespace = m.namespace""")
 def _(f):
-    asked = f.sql("SELECT DISTINCT p_brand AS target_id, concat(p_type, '.', p_brand, '.Core') AS package, CASE WHEN p_size % 2 = 0 THEN concat(substr(p_type, 1, 4)) END AS hint FROM part WHERE p_size < 3")
-    refs = f.sql("SELECT DISTINCT concat(p_type, '.', p_brand, '.Core') AS name, '1.0' AS version, 'App' AS project FROM part WHERE p_size < 3")
+    asked = f.sql("SELECT DISTINCT p_brand AS target_id, concat(p_type, '.', p_brand, '.Core') AS package, CASE WHEN p_size % 2 = 0 THEN concat(substr(p_type, 1, 4)) END AS hint FROM part")
+    refs = f.sql("SELECT DISTINCT concat(p_type, '.', p_brand, '.Core') AS name, '1.0' AS version, 'App' AS project FROM part")
     uses = f.sql(
         "SELECT 'using-directive' AS usage_kind, concat(CASE WHEN p_partkey % 3 = 0 THEN 'Root.' ELSE '' END, p_type, '.', p_brand, '.', split_part(p_name, ' ', 1)) AS namespace, 'App' AS project, 'p' AS path, "
         "CAST(p_partkey AS INT) AS line, 1 AS column_no, 1 AS end_line, 1 AS end_column FROM part"

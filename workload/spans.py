@@ -72,7 +72,7 @@ def _(f):
 
 
 AT = """
-asked AS (SELECT concat('p', CAST(event_id AS VARCHAR)) AS target_id, path, line AS at_line, CASE WHEN event_type = 'login' OR event_type = 'signup' THEN concat('CS', CAST(CAST(floor(value * 10) AS INT) + 1 AS VARCHAR)) END AS diagnostic_id FROM f_points WHERE event_type <> 'click'),
+asked AS (SELECT concat('p', CAST(event_id AS VARCHAR)) AS target_id, path, line AS at_line, CASE WHEN event_type = 'login' OR event_type = 'signup' THEN concat('CS', CAST(CAST(floor(value * 10) AS INT) + 1 AS VARCHAR)) END AS diagnostic_id FROM f_points),
 located AS (SELECT target_id, d.* FROM asked a JOIN f_diags d ON d.id = a.diagnostic_id WHERE diagnostic_id IS NOT NULL
   UNION ALL SELECT target_id, d.* FROM asked a JOIN f_diags d ON d.path = a.path AND a.at_line BETWEEN d.line AND coalesce(d.end_line, d.line) WHERE diagnostic_id IS NULL)"""
 
@@ -80,7 +80,7 @@ located AS (SELECT target_id, d.* FROM asked a JOIN f_diags d ON d.id = a.diagno
 def _asked(f):
     return f.sql(
         "SELECT concat('p', CAST(event_id AS STRING)) AS target_id, path, line AS at_line, CASE WHEN event_type = 'login' OR event_type = 'signup' "
-        "THEN concat('CS', CAST(CAST(floor(value * 10) AS INT) + 1 AS STRING)) END AS diagnostic_id FROM f_points WHERE event_type <> 'click'"
+        "THEN concat('CS', CAST(CAST(floor(value * 10) AS INT) + 1 AS STRING)) END AS diagnostic_id FROM f_points"
     )
 
 
@@ -166,8 +166,8 @@ def _(f):
 
 @query("symbol_at_position", "target_id s, hit_symbol s, status s, def_path s, def_line i", """
 WITH points AS (SELECT concat('e', CAST(event_id AS VARCHAR)) AS target_id, path, line, CAST(column_no + event_id % 3 AS INT) AS column_no FROM f_points),
-ids AS (SELECT DISTINCT path, line, concat(event_type, CAST(user_id % 5 AS VARCHAR)) AS hit_symbol, column_no, column_no + 1 AS last FROM f_points WHERE event_type <> 'click'),
-defs AS (SELECT concat(event_type, CAST(user_id % 5 AS VARCHAR)) AS hit_symbol, path AS def_path, min(line) AS def_line FROM f_points WHERE event_type <> 'error' GROUP BY ALL),
+ids AS (SELECT DISTINCT path, line, concat(event_type, CAST(user_id % 5 AS VARCHAR)) AS hit_symbol, column_no, column_no + 1 AS last FROM f_points),
+defs AS (SELECT concat(event_type, CAST(user_id % 5 AS VARCHAR)) AS hit_symbol, path AS def_path, min(line) AS def_line FROM f_points GROUP BY ALL),
 under AS (SELECT p.path, p.line, p.column_no, (min(ROW(last - i.column_no, hit_symbol)))[2] AS hit_symbol FROM (SELECT DISTINCT path, line, column_no FROM points) p JOIN ids i ON i.path = p.path AND i.line = p.line AND p.column_no BETWEEN i.column_no AND i.last GROUP BY ALL),
 joined AS (SELECT p.target_id, u.hit_symbol, d.def_path, d.def_line, row_number() OVER (PARTITION BY p.target_id ORDER BY def_path <> p.path NULLS FIRST, def_path, def_line) AS rn
   FROM points p LEFT JOIN under u ON u.path = p.path AND u.line = p.line AND u.column_no = p.column_no LEFT JOIN defs d ON d.hit_symbol = u.hit_symbol)
@@ -176,11 +176,11 @@ SELECT target_id, hit_symbol, CASE WHEN hit_symbol IS NULL THEN 'not-found' ELSE
 def _(f):
     points = f.sql("SELECT concat('e', CAST(event_id AS STRING)) AS target_id, path, line, CAST(column_no + event_id % 3 AS INT) AS column_no FROM f_points")
     ids = f.sql(
-        "SELECT path, line, concat(event_type, CAST(user_id % 5 AS STRING)) AS symbol_id, column_no, column_no + 2 AS end_column FROM f_points WHERE event_type <> 'click'"
+        "SELECT path, line, concat(event_type, CAST(user_id % 5 AS STRING)) AS symbol_id, column_no, column_no + 2 AS end_column FROM f_points"
     )
     defs = f.sql(
         "SELECT concat(event_type, CAST(user_id % 5 AS STRING)) AS symbol_id, path, min(line) AS line, 1 AS column_no, min(line) AS end_line, 1 AS end_column "
-        "FROM f_points WHERE event_type <> 'error' GROUP BY 1, path"
+        "FROM f_points GROUP BY 1, path"
     )
     return spans.symbol_at(points, ids, defs)
 
