@@ -3,11 +3,13 @@
 In each window the 25-word gram with the least hash is its anchor; equal windows have equal anchors at equal places, so the
 number of documents with an anchor is never below that of any of its windows. Every partition counts its documents' anchors in a
 count-min sketch, held at 2; Spark merges the sketches, which overestimate. A second pass takes only windows whose anchor is
-estimated in two documents or more and groups these exactly by a 96-bit hash. A window counts as repeated in a document if it
-also starts in one with a smaller id, and its words go.
+estimated in two documents or more, as runs of windows around one anchor, and groups these exactly by 128 bits of hash: equal runs first,
+and where an anchor has several unlike runs, their windows. A window counts as repeated in a document if it also starts in one with a
+smaller id, and its words go.
 
 Null texts have no words; rows with a null id neither lose words nor make others lose them; rows of equal id do not repeat
-each other. The sketch has a fixed size: on very large inputs it lets more windows pass and still loses none.
+each other; repeated rows each get their row. An empty table gives no rows; other columns are not read. A very long text is one
+task's, at some 100 bytes a byte. The sketch has a fixed size: on very large inputs it lets more runs pass and still loses none.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import id_type, keyed_texts, same_row, settle, shared_table
 from .sketch import bitmap, cell_rows, merged_cells
-from .words import NON_BLANK, U, Words, in_bits, signed, text_groups, winnow, words_of
+from .words import NON_BLANK, U, Words, in_bits, mix, signed, text_groups, winnow, words_of
 
 WINDOW = 50
 GRAM = 25
@@ -31,10 +33,11 @@ CELLS = 1 << 25
 BLOCK = 1 << 18
 
 
-def _anchored(words: Words) -> tuple[np.ndarray, np.ndarray]:
+def _anchored(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start of every window, hash of its anchor, and the anchor's number among the grams."""
     at, grams = words.grams(GRAM)
     first, chosen = winnow(at, grams, words.text_of_word()[at], WIDTH)
-    return at[first], grams[chosen]
+    return at[first], grams[chosen], chosen
 
 
 def _cells(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +55,7 @@ def anchor_sketch(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for _lo, _hi, buf, offsets in text_groups(batch.column(0)):
                 words = words_of(buf, offsets, NON_BLANK, lower=False)
-                starts, anchors = _anchored(words)
+                starts, anchors, _ = _anchored(words)
                 if not len(starts):
                     continue
                 owner = words.text_of_word()[starts]
@@ -72,44 +75,92 @@ def anchor_sketch(docs: DataFrame) -> np.ndarray:
     return np.packbits(merged_cells(rows, 2 * CELLS, BLOCK, "uint8", 2) >= 2)
 
 
-def _suspects(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(h1, h2) and place of the windows whose anchor is estimated in two documents or more."""
+#: Runs that a task remembers, to send their windows once.
+REMEMBERED = 500_000
+
+
+def _suspect_runs(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
+    """Runs of windows around one anchor (a) that is estimated in two documents or more: place, number of windows, hash of the run
+    (r1, r2); where the task meets the run first also its windows' hashes."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = sent.value
+        packed, seen = sent.value, set()
         met = lambda at: (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
         for batch in batches:
-            ids, keys = batch.column(0), batch.column(1)
             for lo, _hi, buf, offsets in text_groups(batch.column(2)):
                 words = words_of(buf, offsets, NON_BLANK, lower=False)
-                starts, anchors = _anchored(words)
+                starts, anchors, chosen = _anchored(words)
                 one, two = _cells(anchors)
-                starts = starts[met(one) & met(two)]
+                some = met(one) & met(two)
+                starts, anchors, chosen = starts[some], anchors[some], chosen[some]
                 if not len(starts):
                     continue
+                if len(seen) > REMEMBERED:
+                    seen.clear()
                 at, h1 = words.grams(WINDOW)
-                _, h2 = words.grams(WINDOW, second=True)
+                h2 = words.grams(WINDOW, second=True)[1]
                 where = np.searchsorted(at, starts)
-                owner = words.text_of_word()[starts]
-                rows = pa.array(owner + lo)
+                h1, h2, owner = h1[where], h2[where], words.text_of_word()[starts]
+                first = np.flatnonzero(np.r_[True, (chosen[1:] != chosen[:-1]) | (starts[1:] != starts[:-1] + 1)])
+                n = np.diff(np.r_[first, len(starts)])
+                # A run has fewer windows than a window has words: the first, the last and their number fix all its words.
+                last = first + n - 1
+                r1, r2 = mix(h1[first] ^ mix(h1[last] + n.astype(U))), mix(h2[first] ^ mix(h2[last] + n.astype(U)))
+                fresh = np.zeros(len(first), bool)
+                for i, pair in enumerate(zip(r1.tolist(), r2.tolist())):
+                    fresh[i] = pair not in seen
+                    seen.add(pair)
+                sizes = np.where(fresh, n, 0)
+                told, none = np.repeat(fresh, n), pa.array(~fresh)
+                ends = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+                lists = lambda x: pa.ListArray.from_arrays(ends, pa.array(signed(x[told])), mask=none)
+                rows = pa.array(owner[first] + lo)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.take(rows), keys.take(rows), pa.array((starts - words.first[owner]).astype(np.int32)),
-                        pa.array(signed(h1[where])), pa.array((h2[where] >> U(32)).astype(np.uint32).view(np.int32)),
+                        batch.column(0).take(rows), batch.column(1).take(rows), pa.array((starts[first] - words.first[owner[first]]).astype(np.int32)), pa.array(n.astype(np.int32)),
+                        pa.array(signed(anchors[first])), pa.array(signed(r1)), pa.array(signed(r2)), lists(h1), lists(h2),
                     ],
-                    names=["doc_id", "k", "start", "h1", "h2"],
+                    names=["doc_id", "k", "start", "n", "a", "r1", "r2", "h1", "h2"],
                 )
 
-    return keyed_texts(docs).filter("doc_id is not null").mapInArrow(find, f"doc_id {id_type(docs)}, k long, start int, h1 long, h2 int")
+    schema = f"doc_id {id_type(docs)}, k long, start int, n int, a long, r1 long, r2 long, h1 array<long>, h2 array<long>"
+    return keyed_texts(docs).filter("doc_id is not null").mapInArrow(find, schema)
+
+
+def _window_owners(runs: DataFrame, unlike: DataFrame) -> DataFrame:
+    """(r1, r2, owners): for the runs of anchors with several unlike ones, the least id that has the window at each place."""
+    sent = runs.sparkSession.sparkContext.broadcast(bitmap(unlike, F.col("a")))
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bits(sent.value, batch.column(0).to_numpy().view(U))))
+
+    told = runs.filter("h1 is not null").select("a", "r1", "r2", "h1", "h2")
+    told = told.mapInArrow(passing, told.schema.simpleString()).join(unlike.drop("a"), ["r1", "r2"])
+    pairs = F.posexplode(F.arrays_zip("h1", "h2")).alias("place", "w")
+    windows = told.select("r1", "r2", "least", "most", pairs).select("r1", "r2", "least", "most", "place", "w.h1", "w.h2")
+    least = windows.groupBy("h1", "h2").agg(F.min("least").alias("owner"))
+    owned = windows.join(least, ["h1", "h2"]).filter("owner < most")
+    # A run that several tasks told has equal entries.
+    return owned.groupBy("r1", "r2").agg(F.collect_set(F.struct("place", "owner")).alias("owners"))
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """doc_id, k and the starts of the row's windows that also start in a document with a smaller id."""
-    windows = _suspects(docs, anchor_sketch(docs))
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
-    later = windows.join(first, ["h1", "h2"]).filter(F.col("doc_id") > F.col("least"))
-    return later.groupBy("doc_id", "k").agg(F.collect_set("start").alias("starts"))
+    runs = shared_table(_suspect_runs(docs, anchor_sketch(docs)))
+    alike = runs.groupBy("a", "r1", "r2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    anchors = alike.groupBy("a").agg(F.count("*").alias("runs"), F.min("least").alias("first"), F.max("most").alias("last")).filter("first < last")
+    kinds = shared_table(alike.join(anchors.select("a", "runs"), "a"))
+    single = kinds.filter("runs = 1").select("r1", "r2", "least", F.lit(None).cast(f"array<struct<place:int,owner:{id_type(docs)}>>").alias("owners"))
+    many = _window_owners(runs, kinds.filter("runs > 1").select("a", "r1", "r2", "least", "most"))
+    judged = single.unionByName(many.select("r1", "r2", F.lit(None).cast(id_type(docs)).alias("least"), "owners"))
+    places = runs.select("doc_id", "k", "start", "n", "r1", "r2").join(judged, ["r1", "r2"])
+    own = F.transform(F.filter("owners", lambda x: x["owner"] < F.col("doc_id")), lambda x: x["place"] + F.col("start"))
+    whole = F.when(F.col("least") < F.col("doc_id"), F.sequence(F.col("start"), F.col("start") + F.col("n") - 1))
+    starts = F.when(F.col("owners").isNull(), whole).otherwise(own)
+    later = places.select("doc_id", "k", starts.alias("starts")).filter("size(starts) > 0")
+    return later.groupBy("doc_id", "k").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
