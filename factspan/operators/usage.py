@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ranks import FILE_REASONS, GROUP_KINDS, USAGE_KINDS, rank_of, value_at
-from .core import LOC, dedupe_first, top_per_group
+from .core import LOC, bounded_section, dedupe_first, top_per_group
 
 AFFECTED_REASONS = [
     "contains-changed-symbol",
@@ -35,6 +35,12 @@ def containing_key(kind, container, name) -> Column:
     return F.concat(F.col(kind), F.lit(":"), qualified)
 
 
+def kind_counts() -> Column:
+    """Map of usage kind to count in the fixed order of kinds, over rows (usage_kind, n) of one kind each."""
+    entries = F.array_sort(F.collect_list(F.struct(rank_of("usage_kind", USAGE_KINDS, 100).alias("o"), "usage_kind", "n")))
+    return F.map_from_entries(F.transform(entries, lambda s: F.struct(s["usage_kind"], s["n"])))
+
+
 def grouped_usage(refs: DataFrame, dimensions: dict[str, str], keys=("target_id",)) -> DataFrame:
     """For each dimension (name -> column) and key: count, counts per usage kind, first location.
 
@@ -52,12 +58,7 @@ def grouped_usage(refs: DataFrame, dimensions: dict[str, str], keys=("target_id"
     )
     grouped = per_kind.groupBy(*keys, "group_by", "key").agg(
         F.sum("n").alias("reference_count"),
-        F.map_from_entries(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct(rank_of("usage_kind", USAGE_KINDS, 100).alias("o"), "usage_kind", "n"))),
-                lambda s: F.struct(s["usage_kind"], s["n"]),
-            )
-        ).alias("usage_kind_counts"),
+        kind_counts().alias("usage_kind_counts"),
         F.min("first").alias("first"),
     )
     return grouped.select(
@@ -67,11 +68,14 @@ def grouped_usage(refs: DataFrame, dimensions: dict[str, str], keys=("target_id"
 
 
 def files_by_references(refs: DataFrame, limit: int, keys=("target_id",)) -> DataFrame:
-    """Per target the files with the most references: count and first line."""
-    files = refs.groupBy(*keys, "path").agg(
-        F.count("*").alias("reference_count"), F.min("line").alias("first_line")
+    """Per target the files with the most references: count, counts per usage kind, first line; the number of files and whether some
+    were left out."""
+    keys = list(keys)
+    per_kind = refs.groupBy(*keys, "path", "usage_kind").agg(F.count("*").alias("n"), F.min("line").alias("first_line"))
+    files = per_kind.groupBy(*keys, "path").agg(
+        F.sum("n").alias("reference_count"), F.min("first_line").alias("first_line"), kind_counts().alias("usage_kind_counts")
     )
-    return top_per_group(files, keys, [F.desc("reference_count"), "path"], limit)
+    return bounded_section(files, [F.desc("reference_count"), "path"], limit, keys)
 
 
 def file_evidence(df: DataFrame, reason: str, direct: bool | None = None) -> DataFrame:

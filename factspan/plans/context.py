@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.names import stable_id
 from ..functions.paths import lines_of
@@ -13,37 +13,37 @@ from ..session import cut_lineage
 from . import lookup
 
 
-def _item(df: DataFrame, kind: str, reason, suffix) -> DataFrame:
+def _item(df: DataFrame, kind: str, reason, suffix, *more: str) -> DataFrame:
     reason = F.lit(reason) if isinstance(reason, str) else reason
     return df.select(
         F.col("target_id").alias("pack_id"), stable_id(kind, *LOC, suffix).alias("item_id"), F.lit(kind).alias("kind"),
-        F.array(reason).alias("reason_codes"), *LOC,
+        F.array(reason).alias("reason_codes"), *LOC, *more,
     )
 
 
 def query_items(
     chosen: DataFrame, decls: DataFrame, references: DataFrame, call_edges: DataFrame, type_edges: DataFrame, diags: DataFrame,
-    reference_limit: int = 50, file_limit: int = 20, relation_limit: int = 20, diagnostic_limit: int = 50,
 ) -> DataFrame:
-    """Items of a symbol's pack: definition, members, references, related files, callers, calls, implementations, diagnostics."""
+    """Items of a symbol's pack: definition, members, references, related files, callers, calls, implementations, diagnostics.
+
+    Nothing is cut here: which items come first is known only when all kinds are ranked together (see :func:`context_pack`).
+    """
     placed = chosen.select("target_id", "symbol_id").join(decls, "symbol_id")
     places = decls.select("symbol_id", *LOC, "name")
     none = F.lit(None).cast("string")
     members = impact.members_of(placed.filter(F.col("kind") == "NamedType"), decls)
-    members = top_per_group(members, ["target_id"], ["line", "column", "symbol_id"], relation_limit)
-    refs = cut_lineage(top_per_group(usage.references_of(chosen, references), ["target_id"], LOC, reference_limit))
+    refs = cut_lineage(usage.references_of(chosen, references))
     callable_ = placed.filter(F.col("kind").isin("Method", "Property", "Event")).select("target_id", "symbol_id")
 
-    def heads(calls: DataFrame, other: str) -> DataFrame:
-        found = calls.select("target_id", F.col(other).alias("symbol_id")).distinct().join(places, "symbol_id")
-        return top_per_group(found, ["target_id"], [*LOC, "symbol_id"], relation_limit)
+    def at(calls: DataFrame, other: str) -> DataFrame:
+        return calls.select("target_id", F.col(other).alias("symbol_id")).distinct().join(places, "symbol_id")
 
-    callers = heads(callers_of(callable_, call_edges, type_edges), "caller_id")
-    calls = heads(calls_of(callable_, call_edges), "callee_id")
-    implementations = heads(graph.implementations_of(chosen, type_edges), "symbol_id")
-    files = cut_lineage(lookup.related(chosen, decls, references, call_edges, type_edges, limit=file_limit))
+    callers = at(callers_of(callable_, call_edges, type_edges), "caller_id")
+    calls = at(calls_of(callable_, call_edges), "callee_id")
+    implementations = at(graph.implementations_of(chosen, type_edges), "symbol_id")
+    files = cut_lineage(lookup.related(chosen, decls, references, call_edges, type_edges))
     scope = placed.select("target_id", "path")
-    in_scope = spans.diagnostics_for_context(diags, scope, refs.select("target_id", "path"), files.select("target_id", "path"), limit=diagnostic_limit)
+    in_scope = spans.diagnostics_for_context(diags, scope, refs.select("target_id", "path"), files.select("target_id", "path"))
     items = _item(placed, "definition", "selected-symbol-definition", F.col("name"))
     items = items.unionByName(_item(members, "member", "member-outline-entry", F.col("name")))
     items = items.unionByName(_item(refs, "reference", "references-selected-symbol", none))
@@ -52,11 +52,10 @@ def query_items(
     items = items.unionByName(_item(calls, "call", "callee-of-selected-symbol", F.col("name")))
     items = items.unionByName(_item(implementations, "implementation", "implements-selected-symbol", F.col("name")))
     items = items.withColumn("message", none)
-    found = _item(in_scope.withColumn("reason", F.lit("diagnostic-in-context")), "diagnostic", F.col("reason"), F.col("id"))
-    messages = in_scope.select(
-        F.col("target_id").alias("pack_id"), stable_id("diagnostic", *LOC, F.col("id")).alias("item_id"), "message"
-    ).groupBy("pack_id", "item_id").agg(F.min("message").alias("message"))
-    return items.unionByName(found.join(messages, ["pack_id", "item_id"]))
+    found = _item(in_scope.withColumn("reason", F.lit("diagnostic-in-context")), "diagnostic", F.col("reason"), F.col("id"), "message")
+    # Of the diagnostics of one place and id the one with the least message stands.
+    same = [c for c in found.columns if c != "message"]
+    return items.unionByName(found.groupBy(*same).agg(F.min("message").alias("message")))
 
 
 def diff_items(review: dict[str, DataFrame]) -> DataFrame:
@@ -74,21 +73,32 @@ def context_pack(
     items: DataFrame, documents: DataFrame, goal: str, change_kind: str | None = None, budget_tokens: int = 4000, item_limit: int = 50,
     context_lines: int = 0,
 ) -> dict[str, DataFrame]:
-    """Items in order with their lines, cut to the budget, and what was left out.
+    """Items in order with their lines, cut to the budget, what was left out, and the sections with their true totals.
 
-    Only the first ``item_limit`` + 1 items of a pack can matter, so the text of those alone is fetched.
+    All kinds are ranked together. A kind's place in the order is known beforehand, so from the counts per kind follows which kinds can
+    reach the first ``item_limit`` + 1 items of a pack; of these kinds the first so many rows are kept, map-side, and only
+    their text is fetched. Everything left out is counted.
     """
     ranked = cut_lineage(budget.rank_context(items, goal, change_kind))
-    head = top_per_group(ranked, ["pack_id"], budget.ITEM_ORDER, item_limit + 1).drop("position")
+    totals = ranked.groupBy("pack_id", "kind", "priority").agg(F.count("*").alias("total"))
+    # Kinds of equal priority are mixed, so only those of lower priority numbers come wholly before.
+    earlier = Window.partitionBy("pack_id").orderBy("priority").rangeBetween(Window.unboundedPreceding, -1)
+    totals = cut_lineage(totals.withColumn("before", F.coalesce(F.sum("total").over(earlier), F.lit(0))))
+    entering = totals.filter(F.col("before") <= item_limit).select("pack_id", "kind")
+    head = top_per_group(ranked.join(entering, ["pack_id", "kind"], "left_semi"), ["pack_id"], budget.ITEM_ORDER, item_limit + 1).drop("position")
     lines = budget.snippets(head.filter(F.col("message").isNull() & F.col("path").isNotNull()), documents, context_lines).select("path", "line", "lines")
     filled = head.join(lines, ["path", "line"], "left").withColumn(
         "lines", F.when(F.col("message").isNotNull(), F.array("message")).otherwise(F.col("lines"))
     )
     costed = cut_lineage(budget.with_chars(filled))
     kept = budget.apply_budget(costed, budget_tokens, item_limit)
-    totals = ranked.groupBy("pack_id").agg(F.count("*").alias("total_items"))
-    summary = budget.budget_summary(costed, budget_tokens, item_limit, totals=totals)
-    return {"items": kept.withColumn("lines", F.when(F.col("has_content"), F.col("lines"))), "summary": summary}
+    summary = budget.budget_summary(costed, budget_tokens, item_limit, totals=totals.groupBy("pack_id").agg(F.sum("total").alias("total_items")))
+    included = kept.groupBy("pack_id", "kind").agg(F.count("*").alias("included"))
+    sections = totals.select("pack_id", "kind", "total").join(included, ["pack_id", "kind"], "left").fillna(0, ["included"])
+    return {
+        "items": kept.withColumn("lines", F.when(F.col("has_content"), F.col("lines"))), "summary": summary,
+        "sections": sections.withColumn("truncated", F.col("total") > F.col("included")),
+    }
 
 
 def diagnostic_pack(

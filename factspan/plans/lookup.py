@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import chains, graph, impact, ranking, spans, usage
-from ..operators.core import LOC, bounded_section, top_per_group
+from ..operators.core import LOC, bounded_section
 from ..session import cut_lineage
 
 
@@ -45,7 +45,10 @@ def about(
     chosen: DataFrame, decls: DataFrame, references: DataFrame, call_edges: DataFrame, type_edges: DataFrame,
     limit: int = 20, light: bool = False,
 ) -> dict[str, DataFrame]:
-    """Definition, members, references and relations of each target; the light profile leaves the last two out."""
+    """Definition, members, references and relations of each target; the light profile leaves the last two out.
+
+    Every section but the definition is cut to its first rows and carries its total.
+    """
     placed = chosen.select("target_id", "symbol_id").join(decls, "symbol_id")
     members = impact.members_of(placed.filter(F.col("kind") == "NamedType"), decls)
     result = {"definition": placed, "members": bounded_section(members, ["line", "column", "symbol_id"], limit, ["target_id"])}
@@ -56,17 +59,14 @@ def about(
     calls = usage_heads(graph.calls_of(callable_, call_edges, decls), "callee_id", limit)
     result["references"] = bounded_section(usage.references_of(chosen, references), [*LOC], limit, ["target_id"])
     result["callers"], result["calls"] = callers, calls
-    result["implementations"] = top_per_group(
-        graph.implementations_of(chosen, type_edges), ["target_id"], ["depth", "symbol_id"], limit
-    )
-    result["hierarchy"] = top_per_group(
-        graph.type_hierarchy(chosen, type_edges), ["target_id", "relation"], ["depth", "symbol_id"], limit
-    )
+    implementations, hierarchy = graph.implementations_of(chosen, type_edges), graph.type_hierarchy(chosen, type_edges)
+    result["implementations"] = bounded_section(implementations, ["depth", "symbol_id"], limit, ["target_id"])
+    result["hierarchy"] = bounded_section(hierarchy, ["depth", "symbol_id"], limit, ["target_id", "relation"])
     return result
 
 
 def usage_heads(calls: DataFrame, other: str, limit: int) -> DataFrame:
-    return top_per_group(graph.call_groups(calls, other), ["target_id"], [*LOC, other], limit)
+    return bounded_section(graph.call_groups(calls, other), [*LOC, other], limit, ["target_id"])
 
 
 def related(

@@ -58,13 +58,15 @@ def _(f):
     return groups.withColumn("read_count", F.coalesce(F.try_element_at("usage_kind_counts", F.lit("read")), F.lit(0)))
 
 
-@query("files_by_references", "target_id s, path s, reference_count i, first_line i, position i", f"""
-WITH {USED}, files AS (SELECT target_id, path, count(*) AS reference_count, min(line) AS first_line FROM used GROUP BY target_id, path),
-placed AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY reference_count DESC, path) AS position FROM files)
+@query("files_by_references", "target_id s, path s, reference_count i, kinds a, first_line i, position i, total i, truncated b", f"""
+WITH {USED}, per_kind AS (SELECT target_id, path, usage_kind, {KIND_ORDER} AS o, count(*) AS n, min(line) AS first_line FROM used GROUP BY ALL),
+files AS (SELECT target_id, path, sum(n) AS reference_count, list(concat(usage_kind, ':', CAST(n AS VARCHAR)) ORDER BY o) AS kinds, min(first_line) AS first_line FROM per_kind GROUP BY target_id, path),
+placed AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY reference_count DESC, path) AS position, count(*) OVER (PARTITION BY target_id) AS total FROM files)
 SELECT_RESULT
-SELECT * FROM placed WHERE position <= 10""")
+SELECT target_id, path, reference_count, kinds, first_line, position, total, total > 10 AS truncated FROM placed WHERE position <= 10""")
 def _(f):
-    return usage.files_by_references(used(f), 10)
+    files = usage.files_by_references(used(f), 10)
+    return files.withColumn("kinds", F.transform(F.map_entries("usage_kind_counts"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))))
 
 
 @query("filter_locations", "target_symbol_id s, path s, line i, usage_kind s", """

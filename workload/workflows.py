@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from factspan.plans import changes, context, lookup, repositories
 
+from .lookup import CHOSEN, RANKED as RANKED_NAMES, targets
 from .registry import query
-from .reviews import FOUND, async_findings, security_findings
+from .relations import REASONS, _walk
+from .reviews import FOUND, TESTS, async_findings, security_findings, tests
 from .snapshots import COMPARE, sides
 from .spans import AT, HITS
 
@@ -93,19 +95,122 @@ def _(f):
     return lookup.where_used(chosen, f.f_span_refs, f.f_span_decls, {"file": "path", "containing-symbol": "containing_symbol_id"}, 15)["references"]
 
 
-@query("about_symbols", "target_id s, part s, symbol_id s, position i", f"""
-WITH chosen AS (SELECT * FROM f_asked),
-members AS (SELECT a.target_id, m.symbol_id, m.line, m.column_no FROM chosen a JOIN f_decls t ON t.symbol_id = a.symbol_id AND t.kind = 'NamedType' JOIN f_decls m ON m.path = t.path AND (m.container = t.fqn OR starts_with(m.container, concat(t.fqn, '.')))
-  WHERE m.line <> t.line OR m.column_no <> t.column_no),
-calls AS (SELECT a.target_id, callee_id, min(ROW(c.path, c.line, c.column_no, c.end_line, c.end_column)) AS first FROM chosen a JOIN f_decls t ON t.symbol_id = a.symbol_id AND t.kind <> 'NamedType' JOIN f_calls c ON c.caller_id = a.symbol_id GROUP BY ALL),
-p AS (SELECT target_id, 'member' AS part, symbol_id, row_number() OVER (PARTITION BY target_id ORDER BY line, column_no, symbol_id) AS position FROM members
-  UNION ALL SELECT target_id, 'call', callee_id, row_number() OVER (PARTITION BY target_id ORDER BY first, callee_id) FROM calls)
+@query("where_used_files", "target_id s, path s, reference_count i, kinds a, position i, total i, truncated b", f"""
+WITH u AS (SELECT DISTINCT target_symbol_id AS target_id, {LOCS} FROM f_span_refs WHERE target_symbol_id IN (SELECT symbol_id FROM f_span_decls)),
+files AS (SELECT target_id, path, count(*) AS reference_count FROM u GROUP BY target_id, path),
+placed AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY reference_count DESC, path) AS position, count(*) OVER (PARTITION BY target_id) AS total FROM files)
+SELECT_RESULT
+SELECT target_id, path, reference_count, [concat('read:', CAST(reference_count AS VARCHAR))] AS kinds, position, total, total > 4 AS truncated FROM placed WHERE position <= 4""")
+def _(f):
+    chosen = f.f_span_decls.select(F.col("symbol_id").alias("target_id"), "symbol_id")
+    files = lookup.where_used(chosen, f.f_span_refs, f.f_span_decls, {"file": "path"}, 15, 4)["files"]
+    return files.withColumn("kinds", F.transform(F.map_entries("usage_kind_counts"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))))
+
+
+# What lies around the asked symbols: chosen(target_id, symbol_id) comes before it.
+WALKS = ", ".join([_walk("override", "o"), _walk("'override','implements'", "om"), _walk("'base','interface','override','implements'", "y"), _walk("base", "b"), _walk("'base','interface'", "x")])
+AROUND = f"""
+{WALKS},
+root AS (SELECT c.target_id, d.* FROM chosen c JOIN f_decls d ON d.symbol_id = c.symbol_id),
+callable AS (SELECT target_id, symbol_id FROM root WHERE kind IN ('Method', 'Property')),
+members AS (SELECT t.target_id, m.* FROM root t JOIN f_decls m ON m.path = t.path AND (m.container = t.fqn OR starts_with(m.container, concat(t.fqn, '.'))) WHERE t.kind = 'NamedType' AND (m.line <> t.line OR m.column_no <> t.column_no)),
+uses AS (SELECT DISTINCT c.target_id, {LOCS} FROM chosen c JOIN f_refs r ON r.target_symbol_id = c.symbol_id),
+kin AS (SELECT target_id, symbol_id AS node FROM callable UNION SELECT c.target_id, high FROM callable c JOIN o ON low = c.symbol_id UNION SELECT c.target_id, low FROM callable c JOIN om ON high = c.symbol_id
+  UNION SELECT c.target_id, parent_id FROM callable c JOIN f_types t ON child_id = c.symbol_id AND edge_kind = 'implements'),
+caller_places AS (SELECT DISTINCT k.target_id, caller_id, {LOCS} FROM kin k JOIN f_calls c ON c.callee_id = k.node),
+callees AS (SELECT DISTINCT target_id, callee_id FROM callable a JOIN f_calls c ON c.caller_id = a.symbol_id),
+impls AS (SELECT c.target_id, low, min(depth) AS depth FROM chosen c JOIN y ON high = c.symbol_id WHERE low <> high GROUP BY ALL),
+kin_types AS (SELECT c.target_id, 'derived-type' AS relation, low AS node, min(depth) AS depth FROM chosen c JOIN b ON high = c.symbol_id WHERE low <> high GROUP BY ALL
+  UNION ALL SELECT c.target_id, 'implementing-type', low, min(depth) FROM chosen c JOIN x ON high = c.symbol_id WHERE low <> high AND high IN (SELECT parent_id FROM f_types WHERE edge_kind = 'interface') GROUP BY ALL
+  UNION ALL SELECT c.target_id, 'base-type', high, min(depth) FROM chosen c JOIN b ON low = c.symbol_id WHERE low <> high GROUP BY ALL
+  UNION ALL SELECT DISTINCT c.target_id, 'interface', parent_id, 1 FROM chosen c JOIN f_types ON child_id = c.symbol_id WHERE edge_kind = 'interface' AND child_id <> parent_id
+  UNION ALL SELECT c.target_id, 'base-member', high, min(depth) FROM chosen c JOIN o ON low = c.symbol_id WHERE low <> high GROUP BY ALL
+  UNION ALL SELECT c.target_id, 'overriding-member', low, min(depth) FROM chosen c JOIN o ON high = c.symbol_id WHERE low <> high GROUP BY ALL
+  UNION ALL SELECT c.target_id, 'implemented-member', low, min(depth) FROM chosen c JOIN (SELECT child_id AS low, parent_id AS high, 1 AS depth FROM f_types WHERE edge_kind = 'implements') m1 ON high = c.symbol_id WHERE low <> high GROUP BY ALL)"""
+
+
+@query("about_symbols", "target_id s, part s, symbol_id s, position i, total i, truncated b", f"""
+WITH RECURSIVE chosen AS (SELECT * FROM f_asked), {AROUND}, {_walk("implements", "im")},
+calls AS (SELECT a.target_id, callee_id, min(ROW({LOCS})) AS first FROM callable a JOIN f_calls c ON c.caller_id = a.symbol_id GROUP BY ALL),
+callers AS (SELECT target_id, caller_id, min(ROW({LOCS})) AS first FROM caller_places GROUP BY ALL),
+relations AS (SELECT target_id, relation, node, depth FROM kin_types WHERE relation <> 'implemented-member'
+  UNION ALL SELECT c.target_id, 'implemented-member', low, min(depth) FROM chosen c JOIN im ON high = c.symbol_id WHERE low <> high GROUP BY ALL),
+p AS (SELECT target_id, 'member' AS part, symbol_id, row_number() OVER (PARTITION BY target_id ORDER BY line, column_no, symbol_id) AS position, count(*) OVER (PARTITION BY target_id) AS total FROM members
+  UNION ALL SELECT target_id, 'call', callee_id, row_number() OVER (PARTITION BY target_id ORDER BY first, callee_id), count(*) OVER (PARTITION BY target_id) FROM calls
+  UNION ALL SELECT target_id, 'caller', caller_id, row_number() OVER (PARTITION BY target_id ORDER BY first, caller_id), count(*) OVER (PARTITION BY target_id) FROM callers
+  UNION ALL SELECT target_id, 'implementation', low, row_number() OVER (PARTITION BY target_id ORDER BY depth, low), count(*) OVER (PARTITION BY target_id) FROM impls
+  UNION ALL SELECT target_id, relation, node, row_number() OVER (PARTITION BY target_id, relation ORDER BY depth, node), count(*) OVER (PARTITION BY target_id, relation) FROM relations)
+SELECT_RESULT
+SELECT target_id, part, symbol_id, position, total, total > 3 AS truncated FROM p WHERE position <= 3""")
+def _(f):
+    found = lookup.about(f.f_asked, f.f_decls.filter("trim(name) <> ''"), f.f_refs, f.f_calls, f.f_types, limit=3)
+    pick = lambda name, part, c: found[name].select("target_id", part.alias("part"), F.col(c).alias("symbol_id"), "position", "total", "truncated")
+    parts = [("members", "member", "symbol_id"), ("calls", "call", "callee_id"), ("callers", "caller", "caller_id"), ("implementations", "implementation", "symbol_id")]
+    rows = pick("hierarchy", F.col("relation"), "symbol_id")
+    for name, part, column in parts:
+        rows = rows.unionByName(pick(name, F.lit(part), column))
+    return rows
+
+
+# A text per path: the document that the path's last number names.
+PATH_TEXTS = """
+SELECT path, text FROM (SELECT path, CAST(regexp_extract(path, '([0-9]+)[^0-9]*$', 1) AS BIGINT) AS n FROM (SELECT path FROM f_decls UNION SELECT path FROM f_refs) a) p JOIN documents ON doc_id = n"""
+# Diagnostics of orders, in files that refer to the symbols.
+ORDER_DIAGS = """
+SELECT 'App' AS project, 'Warning' AS severity, concat('CS', CAST(o_orderkey % 90 AS {0})) AS id, o_orderpriority AS message, concat('src/N/o', CAST(o_orderkey % 500 AS {0}), '.cs') AS path,
+  CAST(o_orderkey % 70 AS INT) AS line, 1 AS column_no, CAST(o_orderkey % 70 AS INT) AS end_line, 9 AS end_column FROM orders"""
+ORDER_OF_KINDS = "CASE kind WHEN 'definition' THEN 0 WHEN 'member' THEN 1 WHEN 'caller' THEN 2 WHEN 'call' THEN 3 WHEN 'implementation' THEN 4 WHEN 'reference' THEN 5 WHEN 'diagnostic' THEN 6 ELSE 7 END"
+SYMBOL_PACK = f"""{AROUND}, diags AS ({ORDER_DIAGS.format('VARCHAR')}), texts AS ({PATH_TEXTS}),
+evidence AS (
+  SELECT target_id, {LOCS}, 0 AS r FROM root UNION ALL SELECT target_id, {LOCS}, 1 FROM uses UNION ALL SELECT target_id, {LOCS}, 2 FROM caller_places
+  UNION ALL SELECT target_id, {LOCS}, 3 FROM impls JOIN f_decls d ON d.symbol_id = low
+  UNION ALL SELECT target_id, {LOCS}, 4 FROM kin_types JOIN f_decls d ON d.symbol_id = node WHERE relation IN ('derived-type', 'implementing-type')
+  UNION ALL SELECT target_id, {LOCS}, 5 FROM callees JOIN f_decls d ON d.symbol_id = callee_id),
+files AS (SELECT target_id, path, {REASONS}[min(r) + 1] AS reason, min(ROW(line, column_no, end_line, end_column)) AS p FROM evidence GROUP BY target_id, path),
+raw AS (
+  SELECT target_id, 'definition' AS kind, 'selected-symbol-definition' AS reason, {LOCS}, name AS suffix, CAST(NULL AS VARCHAR) AS message FROM root
+  UNION ALL SELECT target_id, 'member', 'member-outline-entry', {LOCS}, name, NULL FROM members
+  UNION ALL SELECT target_id, 'reference', 'references-selected-symbol', {LOCS}, NULL, NULL FROM uses
+  UNION ALL SELECT target_id, 'related-file', reason, path, p[1], p[2], p[3], p[4], NULL, NULL FROM files
+  UNION ALL SELECT target_id, 'caller', 'caller-of-selected-symbol', {LOCS}, name, NULL FROM (SELECT DISTINCT target_id, caller_id FROM caller_places) c JOIN f_decls d ON d.symbol_id = caller_id
+  UNION ALL SELECT target_id, 'call', 'callee-of-selected-symbol', {LOCS}, name, NULL FROM callees JOIN f_decls d ON d.symbol_id = callee_id
+  UNION ALL SELECT target_id, 'implementation', 'implements-selected-symbol', {LOCS}, name, NULL FROM impls JOIN f_decls d ON d.symbol_id = low
+  UNION ALL SELECT target_id, 'diagnostic', 'diagnostic-in-context', g.path, line, column_no, end_line, end_column, id, message FROM (SELECT target_id, path FROM files UNION SELECT target_id, path FROM uses UNION SELECT target_id, path FROM root) s JOIN diags g ON g.path = s.path),
+ided AS (SELECT target_id AS pack_id, kind, {LOCS}, concat_ws(':', kind, coalesce(path, ''), coalesce(CAST(line AS VARCHAR), ''), coalesce(CAST(column_no AS VARCHAR), ''), coalesce(CAST(end_line AS VARCHAR), ''), coalesce(CAST(end_column AS VARCHAR), ''), coalesce(suffix, '')) AS item_id,
+  min(reason) AS reason, min(message) AS message FROM raw GROUP BY ALL),
+placed_items AS (SELECT *, row_number() OVER (PARTITION BY pack_id ORDER BY {ORDER_OF_KINDS}, path NULLS FIRST, line NULLS FIRST, column_no NULLS FIRST, end_line NULLS FIRST, end_column NULLS FIRST, kind, item_id) AS position FROM ided),
+split_texts AS (SELECT path, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS ls FROM texts),
+costed AS (SELECT i.*, coalesce(length(message), CASE WHEN line >= 1 THEN length(ls[line]) END, 0) + length(i.path) + length(kind) + length(reason) AS chars
+  FROM placed_items i LEFT JOIN split_texts t ON t.path = i.path WHERE position <= PACK_LIMIT),
+summed AS (SELECT *, sum(chars) OVER (PARTITION BY pack_id ORDER BY position) AS run FROM costed),
+ends AS (SELECT pack_id, min(position) FILTER (run > PACK_CHARS) AS over_at FROM summed GROUP BY pack_id),
+kept_items AS (SELECT s.*, run <= PACK_CHARS AS has_content FROM summed s JOIN ends e ON e.pack_id = s.pack_id WHERE position <= coalesce(over_at, PACK_LIMIT))"""
+
+
+def _pack_sql(limit: int, tokens: int) -> str:
+    return SYMBOL_PACK.replace("PACK_LIMIT", str(limit)).replace("PACK_CHARS", str(4 * tokens))
+
+
+def symbol_pack(f, limit: int, tokens: int):
+    items = context.query_items(f.f_asked, f.f_decls, f.f_refs, f.f_calls, f.f_types, f.sql(ORDER_DIAGS.format("STRING")))
+    return context.context_pack(items, f.sql(PATH_TEXTS), "modify", budget_tokens=tokens, item_limit=limit)
+
+
+@query("context_pack_of_symbols", "pack_id s, item_id s, position i, running_chars i, has_content b", f"""
+WITH RECURSIVE chosen AS (SELECT * FROM f_asked), {_pack_sql(12, 600)}
 SELECT_RESULT
-SELECT * FROM p WHERE position <= 6""")
+SELECT pack_id, item_id, position, run AS running_chars, has_content FROM kept_items""")
 def _(f):
-    found = lookup.about(f.f_asked, f.f_decls, f.f_refs, f.f_calls, f.f_types, limit=6)
-    pick = lambda name, part, c: found[name].select("target_id", F.lit(part).alias("part"), F.col(c).alias("symbol_id"), "position")
-    return pick("members", "member", "symbol_id").unionByName(pick("calls", "call", "callee_id"))
+    return symbol_pack(f, 12, 600)["items"]
+
+
+@query("context_pack_sections", "pack_id s, kind s, total i, included i, truncated b", f"""
+WITH RECURSIVE chosen AS (SELECT * FROM f_asked), {_pack_sql(12, 600)},
+totals AS (SELECT pack_id, kind, count(*) AS total FROM ided GROUP BY ALL), inc AS (SELECT pack_id, kind, count(*) AS included FROM kept_items GROUP BY ALL)
+SELECT_RESULT
+SELECT t.pack_id, t.kind, total, coalesce(included, 0) AS included, total > coalesce(included, 0) AS truncated FROM totals t LEFT JOIN inc i ON i.pack_id = t.pack_id AND i.kind = t.kind""")
+def _(f):
+    return symbol_pack(f, 12, 600)["sections"]
 
 
 def _lines(f):
@@ -151,13 +256,26 @@ def _(f):
     return scopes.unionByName(slices)
 
 
-@query("edit_preflight", "target_id s, overall s, risk_level s, risk_reasons a, known_unknowns a")
-def _(f):
-    from .lookup import targets
-    from .reviews import tests
+# Tests that name a chosen symbol's type or lie in a file that names it.
+NAMING_TESTS = f"""
+tt AS (SELECT DISTINCT project, path, line, name, container FROM ({TESTS.format('VARCHAR')}) x WHERE ak < 3),
+subjects AS (SELECT target_id, lower(CASE WHEN kind = 'NamedType' THEN name ELSE string_split(container, '.')[-1] END) AS tn, lower(name) AS nn FROM root),
+tested AS (SELECT DISTINCT target_id FROM subjects JOIN tt ON (tn <> '' AND (contains(lower(tt.container), tn) OR contains(lower(tt.name), tn))) OR (nn <> '' AND contains(lower(tt.path), nn)))"""
+
 
-    docs = f.f_decls.select("path").distinct().withColumn("text", F.repeat(F.lit("line\n"), 90))
-    found = context.edit_preflight(targets(f), f.f_decls, f.f_refs, f.f_calls, f.f_types, f.f_diags, docs, tests(f), item_limit=20)
+@query("edit_preflight", "target_id s, overall s, risk_level s, risk_reasons a, known_unknowns a", f"""
+WITH RECURSIVE {RANKED_NAMES}, {CHOSEN.split(",\nchosen AS")[0]},
+pre AS (SELECT target_id, total_candidates, confidence, confidence IN ('high', 'medium', 'low') AS selected, best, CASE WHEN confidence = 'ambiguous' THEN 'same-rank-candidates' END AS ambiguity FROM judged),
+chosen AS (SELECT target_id, best AS symbol_id FROM pre WHERE selected), {_pack_sql(20, 4000)}, {NAMING_TESTS},
+packs AS (SELECT i.pack_id, bool_or(over_at IS NOT NULL) OR count(*) > any_value(kept) AS cut FROM ided i JOIN ends e ON e.pack_id = i.pack_id JOIN (SELECT pack_id, count(*) AS kept FROM kept_items GROUP BY pack_id) k ON k.pack_id = i.pack_id GROUP BY i.pack_id),
+facts AS (SELECT pre.*, coalesce(cut, false) AS cut, t.target_id IS NOT NULL AS tests FROM pre LEFT JOIN packs ON pack_id = pre.target_id LEFT JOIN tested t ON t.target_id = pre.target_id)
+SELECT_RESULT
+SELECT target_id, CASE WHEN selected THEN confidence ELSE 'none' END AS overall, CASE WHEN NOT selected THEN 'high' WHEN cut THEN 'medium' ELSE 'low' END AS risk_level,
+ list_sort(list_filter([CASE WHEN NOT selected THEN 'no-selected-target' END, ambiguity, CASE WHEN cut THEN 'context-truncated' END, CASE WHEN NOT tests THEN 'no-related-tests-found' END], lambda z: z IS NOT NULL)) AS risk_reasons,
+ list_sort(list_filter([CASE WHEN total_candidates > 1 THEN 'multiple-candidates-existed-before-selection' END, CASE WHEN cut THEN 'context-pack-truncated-by-budget' END, CASE WHEN NOT tests THEN 'related-tests-not-proven' END, 'runtime-behavior-not-proven'], lambda z: z IS NOT NULL)) AS known_unknowns FROM facts""")
+def _(f):
+    diags = f.sql(ORDER_DIAGS.format("STRING"))
+    found = context.edit_preflight(targets(f), f.f_decls, f.f_refs, f.f_calls, f.f_types, diags, f.sql(PATH_TEXTS), tests(f), item_limit=20)
     return found["ledger"]
 
 
