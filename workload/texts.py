@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from factspan.functions import names, paths
 from factspan.operators import budget, core, ranking
-from factspan.session import cut_lineage
-from factspan.sources import documents
+from factspan.session import cut_lineage, shared_folder
+from factspan.sources import documents, text_index
 
 from .registry import query
 
@@ -138,6 +138,22 @@ def _(f):
     return ranking.lexical_prefilter(*_scope(f), 30)
 
 
+@query("lexical_prefilter_indexed", "target_id s, doc_key s, project s, is_own b, position i", f"""
+WITH {SCOPED}
+SELECT_RESULT
+SELECT target_id, doc_key, project, is_own, position FROM searched""")
+def _(f):
+    """The same through a stored index that was built before: some documents were missing, some had other texts, some are gone since."""
+    targets, scope, docs = _scope(f)
+    number = F.expr("try_cast(substr(doc_key, 2) AS bigint)")
+    before = docs.filter(number % 11 != 3).withColumn("text", F.when(number % 5 == 2, F.concat(F.lit("Zzqx "), F.reverse("text"))).otherwise(F.col("text")))
+    before = before.unionByName(docs.withColumn("doc_key", F.concat(F.lit("gone-"), "doc_key")).filter(F.expr("try_cast(substr(doc_key, 7) AS bigint)") % 7 == 1))
+    folder = f"{shared_folder(f.spark)}/texts-{uuid.uuid4().hex}"
+    text_index.build(before, folder)
+    text_index.refresh(docs, folder)
+    return ranking.lexical_prefilter(targets, scope, docs, 30, folder)
+
+
 @query("search_counters", "target_id s, candidate_documents i, candidate_projects i, prefiltered_documents i, searched_documents i, searched_projects i, partial b, truncation_reason s, next_scope s, cost_class s", f"""
 WITH {SCOPED},
 c AS (SELECT target_id, count(*) AS candidate_documents, count(DISTINCT project) AS candidate_projects, CASE WHEN bool_or(hit) THEN count(*) FILTER (hit) ELSE count(*) FILTER (is_own) END AS prefiltered_documents FROM scoped GROUP BY target_id),
