@@ -8,18 +8,9 @@ from ..functions.names import project_id
 from ..functions.paths import ancestor_dirs, directory, file_name, in_build_output
 from ..operators.core import dedupe_first
 
-_ITEM = "_Include:string,_Update:string,_Version:string,Version:string,_PrivateAssets:string,PrivateAssets:string"
-PROJECT_XML = f"""
-    _Sdk string,
-    PropertyGroup array<struct<
-        OutputType:string, Nullable:string, TargetFramework:string, TargetFrameworks:string,
-        PackAsTool:string, AssemblyName:string, ManagePackageVersionsCentrally:string>>,
-    ItemGroup array<struct<
-        PackageReference:array<struct<{_ITEM}>>,
-        ProjectReference:array<struct<_Include:string>>,
-        PackageVersion:array<struct<{_ITEM}>>>>,
-    _corrupt string
-"""
+_ITEM = "_Include string, _Update string, _Version string, Version string, _PrivateAssets string, PrivateAssets string"
+_ROOT = "_Sdk string, _corrupt string"
+_ATTRIBUTES = """(?:[^>"']|"[^"]*"|'[^']*')*?"""
 COVERAGE_NAMES = ["Directory.Build.props", "Directory.Build.targets", "Directory.Packages.props"]
 CENTRAL_NAME = "Directory.Packages.props"
 
@@ -29,14 +20,40 @@ def _blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def _plain_xml(xml) -> Column:
+    """XML text without comments, instructions and prefixes of names, and with CDATA sections as escaped text, so that tags can be found by patterns."""
+    parts = F.split(F.regexp_replace(xml, r"(?s)<!--.*?-->|<\?.*?\?>", ""), r"<!\[CDATA\[", -1)
+    escaped = lambda t: F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    ends = lambda p: F.instr(p, "]]>")
+    section = lambda p: F.when(ends(p) > 0, F.concat(escaped(F.substring(p, F.lit(1), ends(p) - 1)), F.substring(p, ends(p) + 3, F.length(p)))).otherwise(p)
+    text = F.array_join(F.transform(parts, lambda p, n: F.when(n == 0, p).otherwise(section(p))), "")
+    return F.regexp_replace(text, r"<(/?)[\w.-]+:", "<$1")
+
+
+def _elements(xml: Column, name: str) -> Column:
+    """The elements of a name at any depth, as XML texts in the order of the file."""
+    return F.regexp_extract_all(xml, F.lit(rf"(?s)<{name}(?=[\s/>]){_ATTRIBUTES}(?:/>|>.*?</{name}\s*>)"), F.lit(0))
+
+
 def _property(name: str) -> Column:
-    """First non-blank value of a property over all property groups."""
-    values = F.transform(F.col("x.PropertyGroup"), lambda g: _blank_to_null(g[name]))
-    return F.get(F.array_compact(values), 0)
+    """First non-blank text of the elements of a name, wherever they stand."""
+    inner = F.regexp_extract_all(F.col("plain"), F.lit(rf"(?s)<{name}(?=[\s>]){_ATTRIBUTES}>(.*?)</{name}\s*>"), F.lit(1))
+
+    def text(value: Column) -> Column:
+        value = F.regexp_replace(value, "<[^>]*>", "")
+        for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+            value = F.replace(value, F.lit(entity), F.lit(sign))
+        return _blank_to_null(value)
+
+    return F.get(F.array_compact(F.transform(inner, text)), 0)
 
 
 def _parsed(project_files: DataFrame) -> DataFrame:
-    return project_files.withColumn("x", F.from_xml("xml", PROJECT_XML, {"rowTag": "Project", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    """Files with their root (x), whether they are broken, and their text made plain (null where broken)."""
+    options = {"rowTag": "Project", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    parsed = project_files.withColumn("x", F.from_xml("xml", _ROOT, options))
+    broken = F.col("x._corrupt").isNotNull() | (F.trim(F.coalesce("xml", F.lit(""))) == "")
+    return parsed.withColumn("broken", broken).withColumn("plain", F.when(~F.col("broken"), _plain_xml("xml")))
 
 
 def _is_true(c: Column) -> Column:
@@ -49,7 +66,6 @@ def read_projects(project_files: DataFrame) -> DataFrame:
     frameworks = F.coalesce(_property("TargetFrameworks"), _property("TargetFramework"), F.lit(""))
     parts = F.filter(F.transform(F.split(frameworks, ";"), lambda s: F.trim(s)), lambda s: s != "")
     name = F.regexp_replace(file_name("path"), r"\.[^.]*$", "")
-    broken = F.col("x._corrupt").isNotNull() | F.trim(F.coalesce("xml", F.lit(""))).isin("")
     return parsed.select(
         "repo", "path", name.alias("name"),
         project_id("path", name, F.lit(None)).alias("project_id"),
@@ -57,17 +73,18 @@ def read_projects(project_files: DataFrame) -> DataFrame:
         _property("OutputType").alias("output_type"),
         _property("Nullable").alias("nullable"),
         _property("AssemblyName").alias("assembly_name"),
-        F.array_sort(F.array_distinct(parts)).alias("target_frameworks"),
+        F.coalesce(F.array_sort(F.array_distinct(parts)), F.array().cast("array<string>")).alias("target_frameworks"),
         _is_true(_property("PackAsTool")).alias("pack_as_tool"),
-        F.when(broken, F.lit("project-file-parse-failed")).alias("warning"),
+        F.when(F.col("broken"), F.lit("project-file-parse-failed")).alias("warning"),
         F.coalesce(F.col("xml").rlike(r"<(Choose|When|Otherwise)[\s>]"), F.lit(False)).alias("has_conditional_items"),
     )
 
 
 def _items(parsed: DataFrame, element: str) -> DataFrame:
-    nested = F.flatten(F.array_compact(F.transform(F.col("x.ItemGroup"), lambda g: g[element])))
+    """Items of a name at any depth: below groups, choices and targets alike."""
     name = project_id("path", F.col("path"), F.lit(None))
-    return parsed.select("repo", "path", name.alias("project_id"), F.explode(nested).alias("i"))
+    found = parsed.select("repo", "path", name.alias("project_id"), F.explode(_elements(F.col("plain"), element)).alias("element"))
+    return found.select("repo", "path", "project_id", F.from_xml("element", _ITEM, {"rowTag": element}).alias("i"))
 
 
 def read_package_refs(project_files: DataFrame) -> DataFrame:
@@ -155,7 +172,7 @@ def central_management(config_files: DataFrame) -> DataFrame:
     """Per repository: central versions enabled, number of central files, first of them."""
     central = config_files.filter((file_name("path") == CENTRAL_NAME) & ~in_build_output("path"))
     parsed = _parsed(central)
-    lists = F.size(F.flatten(F.array_compact(F.transform(F.col("x.ItemGroup"), lambda g: g["PackageVersion"])))) > 0
+    lists = F.size(_elements(F.col("plain"), "PackageVersion")) > 0
     on = _is_true(_property("ManagePackageVersionsCentrally")) | F.coalesce(lists, F.lit(False))
     return parsed.groupBy("repo").agg(
         F.bool_or(on).alias("enabled"), F.count("*").alias("file_count"), F.min("path").alias("first_file")

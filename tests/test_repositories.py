@@ -48,3 +48,22 @@ def test_patterns(spark):
     assert {r.target_id: r.confidence for r in found["choice"].collect()}["t1"] != "none"
     assert [tuple(r) for r in found["invalid"].collect()] == [("t2", "invalid-pattern")]
     assert {r.target_id for r in ranking.match_names(targets, decls, with_regex=True).collect()} == {"t1"}
+
+
+def test_items_and_properties_at_any_depth(spark):
+    xml = """<?xml version="1.0"?><Project xmlns="http://x" xmlns:m="http://y" Sdk="S"><!-- <PackageReference Include="Comment"/> -->
+    <Choose><When Condition="'$(A)' > '1'"><PropertyGroup><OutputType Condition="a">  </OutputType><OutputType>Exe</OutputType></PropertyGroup>
+      <ItemGroup><PackageReference Include="A &amp; B" Version='1>0' /></ItemGroup></When>
+      <Otherwise><ItemGroup><PackageReference
+          Include="C"><Version>2</Version><PrivateAssets>all</PrivateAssets></PackageReference></ItemGroup></Otherwise></Choose>
+    <Target Name="t"><ItemGroup><m:PackageReference Update="D" Version="4"></m:PackageReference><PackageReferences Include="No"/><ProjectReference Include="..\\L\\L.csproj"/></ItemGroup>
+      <PropertyGroup><AssemblyName><![CDATA[A<B>]]></AssemblyName><Nullable>en&lt;able</Nullable></PropertyGroup></Target>
+    <Note><![CDATA[<PackageReference Include="Text"/>]]></Note></Project>"""
+    files = spark.createDataFrame([("r", "P/P.csproj", xml), ("r", "Q/Q.csproj", xml[:-3])], "repo string, path string, xml string")
+    packages = projects.read_package_refs(files).select("path", "name", "version", "private_assets").collect()
+    assert [tuple(p) for p in packages] == [("P/P.csproj", "A & B", "1>0", None), ("P/P.csproj", "C", "2", "all"), ("P/P.csproj", "D", "4", None)]
+    assert [(r.include, r.path) for r in projects.read_project_refs(files).collect()] == [("..\\L\\L.csproj", "L/L.csproj")]
+    read = {r.path: r for r in projects.read_projects(files).collect()}
+    good, bad = read["P/P.csproj"], read["Q/Q.csproj"]
+    assert (good.sdk, good.output_type, good.assembly_name, good.nullable, good.warning) == ("S", "Exe", "A<B>", "en<able", None)
+    assert (bad.output_type, bad.target_frameworks, bad.warning) == (None, [], "project-file-parse-failed")

@@ -68,7 +68,9 @@ SELECT 'r' AS repo, concat('src/', CAST(n.n_regionkey AS STRING), '/', n.n_name,
   CASE WHEN s.s_suppkey % 13 = 0 THEN '<Project' ELSE concat('<Project Sdk="Microsoft.NET.Sdk', CASE WHEN s.s_suppkey % 5 = 0 THEN '.Web' ELSE '' END, '"><PropertyGroup>',
     CASE WHEN s.s_suppkey % 3 = 0 THEN '<OutputType>Exe</OutputType>' ELSE '' END, '<TargetFrameworks>net8.0; net6.0;net8.0</TargetFrameworks>', CASE WHEN s.s_suppkey % 7 = 0 THEN '<PackAsTool>True</PackAsTool>' ELSE '' END,
     CASE WHEN s.s_suppkey % 4 = 0 THEN '<Nullable>enable</Nullable>' ELSE '' END, '</PropertyGroup><ItemGroup>', CASE WHEN s.s_suppkey % 6 = 0 THEN '<PackageReference Include="XUnit" Version="2.1" />' ELSE '' END,
-    '<PackageReference Include="Lib.Core" /><PackageReference Include="Other"><Version> 4.2 </Version></PackageReference></ItemGroup><ItemGroup><ProjectReference Include="..\\..\\..\\..\\src\\.\\',
+    '<PackageReference Include="Lib.Core" /><PackageReference Include="Other"><Version> 4.2 </Version></PackageReference></ItemGroup>',
+    CASE WHEN s.s_suppkey % 9 = 2 THEN '<Choose><When Condition="$(A) == 1"><ItemGroup><PackageReference Include="Chosen" Version="3"/></ItemGroup></When></Choose><!-- <PackageReference Include="Not"/> -->'
+      WHEN s.s_suppkey % 9 = 4 THEN '<Target Name="t"><ItemGroup><PackageReference Include="Built" Version="5"/></ItemGroup></Target>' ELSE '' END, '<ItemGroup><ProjectReference Include="..\\..\\..\\..\\src\\.\\',
     CAST(m.n_regionkey AS STRING), '\\', m.n_name, '\\P', CAST(t.s_suppkey AS STRING), '\\P', CAST(t.s_suppkey AS STRING), CASE WHEN s.s_suppkey % 8 = 1 THEN 'x' ELSE '' END, '.csproj" /></ItemGroup></Project>') END AS xml
 FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey JOIN supplier t ON t.s_suppkey = CAST((s.s_suppkey - s.s_suppkey % 2) / 2 AS BIGINT) JOIN nation m ON m.n_nationkey = t.s_nationkey"""
 CENTRAL_FILES = r"""
@@ -99,6 +101,7 @@ def _(f):
 WITH {PROJECTS}
 SELECT_RESULT
 SELECT project_id, 'XUnit' AS name, '2.1' AS version, false AS is_central FROM ids WHERE NOT broken AND k % 6 = 0 UNION ALL SELECT project_id, 'Other', '4.2', false FROM ids WHERE NOT broken
+UNION ALL SELECT project_id, CASE k % 9 WHEN 2 THEN 'Chosen' ELSE 'Built' END, CASE k % 9 WHEN 2 THEN '3' ELSE '5' END, false FROM ids WHERE NOT broken AND k % 9 IN (2, 4)
 UNION ALL SELECT project_id, 'Lib.Core', CASE WHEN nk % 3 = 0 THEN concat('n', CAST(nk AS VARCHAR)) ELSE concat('r', CAST(rk AS VARCHAR)) END, true FROM ids WHERE NOT broken""")
 def _(f):
     return projects.inherit_central_versions(projects.read_package_refs(files(f)), projects.read_central_versions(f.sql(CENTRAL_FILES)))
