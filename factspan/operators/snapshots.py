@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ranks import reasons
+from ..session import cut_lineage
 from .core import any_of, bounded_section, dedupe_first, number_rows
 
 SIDE = ["kind", "container", "name", "path", "line", "column"]
@@ -80,6 +81,11 @@ def _evidence(before: str | None, after: str | None) -> list[Column]:
 
 def diff_matched(base: DataFrame, head: DataFrame, include_attributes: bool = True, keys=()) -> DataFrame:
     """Same id on both sides: one row per changed facet."""
+    return _facet_changes(_sides(base, head, keys), include_attributes, keys)
+
+
+def _facet_changes(sides: DataFrame, include_attributes: bool, keys) -> DataFrame:
+    """One row per changed facet of ``sides(keys, doc_id, before, after)``."""
 
     def differs(facet: str) -> Column:
         return ~F.col(f"before.{facet}").eqNullSafe(F.col(f"after.{facet}"))
@@ -102,7 +108,7 @@ def diff_matched(base: DataFrame, head: DataFrame, include_attributes: bool = Tr
     ]
     if include_attributes:
         facets.append((differs("attributes"), attribute_code))
-    rows = _sides(base, head, keys).withColumn("code", F.explode(reasons(*facets)))
+    rows = sides.withColumn("code", F.explode(reasons(*facets)))
     rows = rows.select(
         *keys, "code", F.lit("change").alias("change"), "doc_id", *[F.col(f"after.{c}").alias(c) for c in SIDE],
         *_evidence("before", "after"),
@@ -116,24 +122,33 @@ def unmatched(base: DataFrame, head: DataFrame, keys=()) -> tuple[DataFrame, Dat
     return base.join(head.select(*key), key, "left_anti"), head.join(base.select(*key), key, "left_anti")
 
 
-def _numbered(df: DataFrame, keys) -> DataFrame:
-    """Place of each row among those of equal kind, container, name and parameter count, by id."""
-    shaped = df.withColumn("__container", F.coalesce("container", F.lit("\u0000"))).withColumn("__n", F.size("parameters"))
-    return number_rows(shaped, [*keys, "kind", "__container", "name", "__n"], "doc_id", "__place")
+def _lone(df: DataFrame, side: str, keys) -> DataFrame:
+    return df.select(*keys, "doc_id", F.lit(side).alias("__side"), F.struct(*sorted(df.columns)).alias("__row"))
+
+
+def _paired(lone: DataFrame, keys) -> DataFrame:
+    """Rows of one side each, (before, after) by equal kind, container, name, parameter count and place by id; one of the two is null where
+    the other side has no such place. Rows without a kind or name are not paired.
+    """
+    row = F.col("__row")
+    shaped = lone.withColumns({"kind": row["kind"], "__container": F.coalesce(row["container"], F.lit("\u0000")), "name": row["name"], "__n": F.size(row["parameters"])})
+    shaped = shaped.withColumn("__alone", F.when(F.col("kind").isNull() | F.col("name").isNull() | F.col("__n").isNull(), F.col("__side")))
+    shape = [*keys, "kind", "__container", "name", "__n", "__alone"]
+    numbered = number_rows(shaped, [*shape, "__side"], "doc_id", "__place")
+    of = lambda side: F.first(F.when(F.col("__side") == side, row), ignorenulls=True)
+    return numbered.groupBy(*shape, "__place").agg(of("base").alias("before"), of("head").alias("after")).select(*keys, "before", "after")
+
+
+def _pair_rows(pairs: DataFrame, keys) -> DataFrame:
+    return pairs.filter("before is not null and after is not null").select(
+        *keys, F.lit("public-signature-changed").alias("code"), F.lit("change").alias("change"), F.col("after.doc_id").alias("doc_id"),
+        F.col("before.doc_id").alias("base_id"), *[F.col(f"after.{c}").alias(c) for c in SIDE], *_evidence("before", "after"),
+    )
 
 
 def pair_signature_changes(base_only: DataFrame, head_only: DataFrame, keys=()) -> DataFrame:
     """Unmatched rows of equal kind, container, name and parameter count, paired in id order."""
-    shape = [*keys, "kind", "__container", "name", "__n", "__place"]
-    left = _numbered(base_only, keys)
-    right = _numbered(head_only, keys)
-    left = left.select(*shape, F.col("doc_id").alias("base_id"), F.struct("path", "line", "column").alias("before"))
-    right = right.select(*shape, "doc_id", F.struct("path", "line", "column").alias("after"), F.col("container"))
-    return left.join(right, shape).select(
-        *keys, F.lit("public-signature-changed").alias("code"), F.lit("change").alias("change"), "doc_id", "base_id",
-        "kind", "container", "name", *[F.col(f"after.{c}").alias(c) for c in ("path", "line", "column")],
-        *_evidence("before", "after"),
-    )
+    return _pair_rows(_paired(_lone(base_only, "base", keys).unionByName(_lone(head_only, "head", keys)), keys), keys)
 
 
 def _code(removal: bool) -> Column:
@@ -173,15 +188,24 @@ def removals_additions(base_left: DataFrame, head_left: DataFrame, head: DataFra
 
 
 def api_changes(base: DataFrame, head: DataFrame, include_additions=True, include_attributes=True, keys=()) -> DataFrame:
-    """All changes between two snapshots that have one row per id."""
-    base_only, head_only = unmatched(base, head, keys)
-    pairs = pair_signature_changes(base_only, head_only, keys)
-    base_left = base_only.join(pairs.select(*keys, F.col("base_id").alias("doc_id")), [*keys, "doc_id"], "left_anti")
-    head_left = head_only.join(pairs.select(*keys, "doc_id"), [*keys, "doc_id"], "left_anti")
+    """All changes between two snapshots that have one row per id.
+
+    One full outer join on (keys, id) tells matched, base-only and head-only rows apart; what only one side has is numbered and paired
+    in one grouping. Each of the two results is written once, so neither snapshot is read or joined again.
+    """
+    side = lambda df, name: df.select(*keys, "doc_id", F.struct(*sorted(df.columns)).alias(name))
+    both = cut_lineage(side(base, "before").join(side(head, "after"), [*keys, "doc_id"], "full_outer"))
+    lone = both.filter("before is null or after is null")
+    one = F.when(F.col("after").isNull(), "base").otherwise("head")
+    pairs = cut_lineage(_paired(lone.select(*keys, "doc_id", one.alias("__side"), F.coalesce("before", "after").alias("__row")), keys))
+    gone = pairs.filter("after is null").select("before.*")
+    new = pairs.filter("before is null").select("after.*")
+    present = both.filter("after is not null").select("after.*")
+    matched = both.filter("before is not null and after is not null")
     return (
-        diff_matched(base, head, include_attributes, keys)
-        .unionByName(_finish(pairs.drop("base_id"), keys))
-        .unionByName(removals_additions(base_left, head_left, head, include_additions, keys))
+        _facet_changes(matched, include_attributes, keys)
+        .unionByName(_finish(_pair_rows(pairs, keys).drop("base_id"), keys))
+        .unionByName(removals_additions(gone, new, present, include_additions, keys))
     )
 
 

@@ -159,3 +159,41 @@ def test_a_swap_of_two_rows_changes_the_fingerprint(spark):
         one, two = (core.fingerprint(spark.createDataFrame(r, "i int, v string"), [], ["v"], order=["i"], **how).collect() for r in (rows, swapped))
         assert len(one) == len(two) == 1 and one[0].row_count == 200 and one[0].fingerprint != two[0].fingerprint
     assert core.fingerprint(spark.createDataFrame([], "i int, v string"), [], ["v"]).count() == 0
+
+
+def test_snapshots_are_compared_in_one_pass(spark):
+    """Against a plain comparison: matched facets, greedy pairs by place, the rest removed or added."""
+    draw = random.Random(11)
+    columns = (
+        "repo string, doc_id string, kind string, container string, name string, signature string, modifiers array<string>, parameters array<string>, generic_constraints array<string>, "
+        "nullable_annotations array<string>, default_values array<string>, attributes array<string>, path string, line int, column int"
+    )
+
+    def symbols(drop, seed):
+        own, rows = random.Random(seed), []
+        for i in range(400):
+            kind, name = draw_of(i)
+            if own.random() > drop:
+                doc = f"M{i}" if i % 5 else f"M{i}.{seed}"
+                rows.append((f"r{i % 2}", doc, kind, [None, "A.IThing", "B"][i % 3], name, "interface" if i % 50 == 0 else f"s{own.randrange(2)}", [own.choice(["virtual", "public"])], ["p"] * (i % 3), [], [], [], ["x"] * own.randrange(3), "a.cs", i, 1))
+        return rows
+
+    kinds = [(draw.choice(["Method", "NamedType", "EnumMember", None]), draw.choice(["f", "g", "IThing", None])) for _ in range(400)]
+    draw_of = kinds.__getitem__
+    base, head = symbols(0.1, 1), symbols(0.2, 2)
+    got = snapshots.api_changes(spark.createDataFrame(base, columns), spark.createDataFrame(head, columns), keys=("repo",)).collect()
+    of = lambda rows: {(r[0], r[1]): r for r in rows}
+    b, h = of(base), of(head)
+    shape = lambda r: (r[0], r[2], r[3], r[4], len(r[7]))
+    queues = {}
+    for k in sorted(b.keys() - h.keys()):
+        queues.setdefault(shape(b[k]), []).append(k)
+    pairs = {}
+    for k in sorted(h.keys() - b.keys()):
+        if h[k][2] and h[k][4] and queues.get(shape(h[k])):
+            pairs[k] = queues[shape(h[k])].pop(0)
+    count = lambda change: {(r.repo, r.doc_id) for r in got if r.change == change and r.code != "public-signature-changed"}
+    assert {(r.repo, r.doc_id): r.base_line for r in got if r.code == "public-signature-changed"} == {k: b[v][13] for k, v in pairs.items()}
+    assert count("removal") == b.keys() - h.keys() - set(pairs.values()) and count("addition") == h.keys() - b.keys() - pairs.keys()
+    polymorphic = {k for k in b.keys() & h.keys() if ("virtual" in b[k][6]) != ("virtual" in h[k][6])}
+    assert {(r.repo, r.doc_id) for r in got if r.code == "abstract-virtual-sealed-changed"} == polymorphic
