@@ -48,11 +48,8 @@ def cell_rows(cells: np.ndarray, part: int, block: int) -> Iterator[tuple[int, i
             yield part, i // block, zlib.compress(piece.tobytes(), 1)
 
 
-def merged_cells(rows: DataFrame, size: int, block: int, dtype: str, most: int | None) -> np.ndarray:
-    """Sum of all partitions' cells (part, block, cells), each held at ``most``; merged in two levels by Spark.
-
-    The driver receives one row per block, so never more than the sketch's own size.
-    """
+def merged_blocks(rows: DataFrame, block: int, dtype: str, most: int | None) -> DataFrame:
+    """(block, cells): sum of all partitions' cells (part, block, cells), each held at ``most``; merged in two levels by Spark."""
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(block, np.int64)
@@ -65,8 +62,12 @@ def merged_cells(rows: DataFrame, size: int, block: int, dtype: str, most: int |
     schema = "part long, block long, cells binary"
     near = rows.withColumn("near", F.expr(f"part div {FAN_IN}"))
     first = near.groupBy("block", "near").applyInPandas(add, schema)
-    final = first.groupBy("block").applyInPandas(add, schema)
+    return first.groupBy("block").applyInPandas(add, schema).select("block", "cells")
+
+
+def merged_cells(rows: DataFrame, size: int, block: int, dtype: str, most: int | None) -> np.ndarray:
+    """All merged cells. The driver receives one row per block, so never more than the sketch's own size."""
     out = np.zeros(size, dtype)
-    for row in final.collect():
+    for row in merged_blocks(rows, block, dtype, most).collect():
         out[row["block"] * block : (row["block"] + 1) * block] = np.frombuffer(zlib.decompress(row["cells"]), dtype)
     return out
