@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.paths import file_name, in_build_output, is_generated_path, is_source_path, relative_path
 from ..functions.ranks import reasons
-from ..operators.core import dedupe_first, fingerprint
+from ..operators.core import dedupe_first, fingerprint, join_null_safe
 
 
 def document_index(docs: DataFrame, root: Column | str) -> DataFrame:
@@ -20,13 +20,20 @@ def document_lookup(paths: DataFrame, index: DataFrame) -> DataFrame:
 
     ``paths(request_id, request_path, request_project?)``: a project restricts the choice.
     """
+    # Many requests may ask one question and many documents may share a path: neither multiplies the other.
+    question = ["request_path", "request_project"]
+    asked = paths.select(*question).distinct()
+
     def find(key: str, rank: int) -> DataFrame:
-        hits = paths.join(index.withColumn("__key", F.col(key)), F.col("request_path") == F.col("__key"))
+        first = dedupe_first(index.select(F.col(key).alias("__key"), "path", "project", "doc_id"), ["__key", "project"], ["path", "doc_id"])
+        hits = asked.join(first, F.col("request_path") == F.col("__key"))
         same = F.col("request_project").isNull() | (F.col("request_project") == F.col("project"))
-        return hits.filter(same).select("request_id", "path", "project", "doc_id", F.lit(rank).alias("__rank"))
+        return hits.filter(same).select(*question, "path", "project", "doc_id", F.lit(rank).alias("__rank"))
 
     hits = find("path", 0).unionByName(find("rel_path", 1))
-    best = dedupe_first(hits, ["request_id"], ["__rank", "path", "project", "doc_id"]).drop("__rank")
+    order = ["__rank", "path", "project", "doc_id"]
+    answers = join_null_safe(paths.select("request_id", *question), dedupe_first(hits, question, order), question)
+    best = dedupe_first(answers, ["request_id"], order).drop("__rank", *question)
     return paths.select("request_id", "request_path").join(best, "request_id", "left")
 
 
