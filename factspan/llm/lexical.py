@@ -34,8 +34,8 @@ from .common import id_type, settle, shared_table
 from .sketch import bitmap
 from .words import LETTERS_DIGITS, U, Words, in_bits, signed, text_groups, words_of
 
-BLOCK_DOCS = 8192
-BLOCK_POSTINGS = 2_000_000
+BLOCK_DOCS = 4096
+BLOCK_POSTINGS = 1_000_000
 BUNDLE_ITEMS = 256
 #: Least weight of the terms of each owner; the last takes the rest.
 OWNERS = (4600, 3000, 1400, 1)
@@ -66,35 +66,49 @@ def _counted(words: Words, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return text[new], one[new], two[new], np.diff(np.r_[new, len(one)])
 
 
+def block_rows(block: int, ids: list, sizes: list, found: list) -> pa.RecordBatch:
+    """The rows of one block (see :func:`blocks_of`); ``found`` holds (document, h1, h2, count) arrays and is emptied.
+
+    Arrays are let go as soon as they are put in order: a worker holds some 60 bytes a posting at most.
+    """
+    ids, sizes = pa.concat_arrays(ids), np.concatenate(sizes)
+    order = pc.sort_indices(ids, null_placement="at_end").to_numpy()
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    columns = [list(x) for x in zip(*found)]
+    found.clear()
+    doc, one, two, count = (_joined(x) for x in columns)
+    doc = place[doc]
+    by = np.lexsort((doc, two, one))
+    doc, count = doc[by], count[by]
+    one, two = one[by], two[by]
+    del by
+    first = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]) if len(one) else np.zeros(0, np.int64)
+    ends, n = np.r_[first, len(one)].astype(np.int32), len(first)
+    one, two = one[first], two[first]
+    whole = np.array([0, len(order)], np.int32)
+    # The first row is the block's own; it is missing in the columns of postings and the others in its columns.
+    lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets), values)
+    after = lambda array: pa.concat_arrays([pa.nulls(1, array.type), array])
+    before = lambda array: pa.concat_arrays([array, pa.nulls(n, array.type)])
+    columns = [
+        pa.array(np.full(n + 1, block)), before(lists(whole, ids.take(pa.array(order)))), before(lists(whole, pa.array(sizes[order]))),
+        after(pa.array(signed(one))), after(pa.array(signed(two))),
+        after(lists(ends, pa.array(doc))), after(lists(ends, pa.array(count.astype(np.int64)))),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "sizes", "h1", "h2", "docs", "counts"])
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    whole = np.concatenate(parts)
+    parts.clear()
+    return whole
+
+
 def blocks_of(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """Per block one row with its documents' ids and numbers of terms, in order of id (h1 null), and one row per term with the
     places and occurrence counts of its documents."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
-    names = ["block", "ids", "sizes", "h1", "h2", "docs", "counts"]
-
-    def rows(block: int, ids: list, sizes: list, found: list) -> pa.RecordBatch:
-        ids, sizes = pa.concat_arrays(ids), np.concatenate(sizes)
-        order = pc.sort_indices(ids, null_placement="at_end").to_numpy()
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order), dtype=np.int32)
-        doc, one, two, count = (np.concatenate(x) for x in zip(*found))
-        doc = place[doc]
-        by = np.lexsort((doc, two, one))
-        doc, one, two, count = doc[by], one[by], two[by], count[by]
-        first = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]) if len(one) else np.zeros(0, np.int64)
-        ends, n = np.r_[first, len(one)].astype(np.int32), len(first)
-        whole = np.array([0, len(order)], np.int32)
-        # The first row is the block's own; it is missing in the columns of postings and the others in its columns.
-        lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets), values)
-        after = lambda array: pa.concat_arrays([pa.nulls(1, array.type), array])
-        before = lambda array: pa.concat_arrays([array, pa.nulls(n, array.type)])
-        columns = [
-            pa.array(np.full(n + 1, block)), before(lists(whole, ids.take(pa.array(order)))), before(lists(whole, pa.array(sizes[order]))),
-            after(pa.array(signed(one[first]))), after(pa.array(signed(two[first]))),
-            after(lists(ends, pa.array(doc))), after(lists(ends, pa.array(count.astype(np.int64)))),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=names)
-
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids, sizes, found, docs_in, postings = TaskContext.get().partitionId() << 32, [], [], [], 0, 0
         for batch in batches:
@@ -103,13 +117,13 @@ def blocks_of(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 text, one, two, count = _counted(words, np.flatnonzero(in_bits(sent.value, words.hash)))
                 ids.append(batch.column(0).slice(lo, hi - lo))
                 sizes.append(words.counts.astype(np.int64))
-                found.append((text + docs_in, one, two, count))
+                found.append(((text + docs_in).astype(np.int32), one, two, count.astype(np.int32)))
                 docs_in, postings = docs_in + hi - lo, postings + len(text)
                 if docs_in >= BLOCK_DOCS or postings >= BLOCK_POSTINGS:
-                    yield rows(block, ids, sizes, found)
+                    yield block_rows(block, ids, sizes, found)
                     block, ids, sizes, found, docs_in, postings = block + 1, [], [], [], 0, 0
         if docs_in:
-            yield rows(block, ids, sizes, found)
+            yield block_rows(block, ids, sizes, found)
 
     schema = f"block long, ids array<{id_type(docs)}>, sizes array<long>, h1 long, h2 long, docs array<int>, counts array<long>"
     return docs.select("doc_id", "text").mapInArrow(gather, schema)

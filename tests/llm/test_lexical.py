@@ -67,3 +67,23 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([("a", "q", "few words")], none.schema)
     assert lexical.search(none, one).count() == lexical.search(one, none).count() == lexical.search(none, none).count() == 0
     assert [tuple(r) for r in lexical.search(one, one).select("item_id", "doc_id").collect()] == [("q", "a")]
+
+
+def test_a_block_is_put_in_order_in_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng, n, docs = np.random.default_rng(5), 100_000, 400
+    found = [(np.sort(rng.integers(0, docs, n).astype(np.int32)), *rng.integers(0, 900, (2, n)).astype(np.uint64), np.ones(n, np.int32)) for _ in range(10)]
+    ids, sizes = [pa.array(range(docs))], [np.full(docs, 10 * n // docs)]
+    tracemalloc.start()
+    rows = lexical.block_rows(7, ids, sizes, found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not found and sum(len(x) for x in rows["docs"].to_pylist() if x) == 10 * n
+    # Before, the pieces, their joined copies and the ordered copies lay side by side: some 100 bytes a posting.
+    assert peak < 75 * 10 * n
+    # A worker's share of an executor is some 300 MB, of which Python and its libraries take half.
+    assert lexical.BLOCK_POSTINGS * 100 <= 128 << 20
