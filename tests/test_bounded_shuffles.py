@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from factspan.operators import spans
+from factspan.operators import spans, usage
 
 
 def _plan(df):
@@ -17,3 +17,17 @@ def test_points_look_only_into_the_widths_that_spans_have(spark):
     assert cells.count() == 6 and {r["__level"] for r in cells.collect()} == {0, 1}
     assert [tuple(r) for r in spans.stab(points, of, ["path"], "at", "lo", "hi").collect()] == [("a", 3, 1, 5)]
     assert spans.stab(points, of.filter("lo > 100"), ["path"], "at", "lo", "hi").collect() == []
+
+
+def test_usage_rows_are_counted_before_they_go_through_the_last_exchange(spark):
+    """Every row went four times through one exchange, and its group through a second."""
+    rows = [("t", k, f"p{i % 3}", "App", i, 1, i, 2) for i, k in enumerate(["read", "odd", "write", "read", "odd", "else", "read"])]
+    refs = spark.createDataFrame(rows, "target_id string, usage_kind string, path string, project string, line int, column int, end_line int, end_column int")
+    dims = {"file": "path", "project": "project", "usage-kind": "usage_kind"}
+    found = usage.grouped_usage(refs, dims)
+    assert _plan(found).split("Generate")[0].count("Exchange hashpartitioning") == 1
+    whole = {(r["group_by"], r["key"]): (r["reference_count"], list(r["usage_kind_counts"].items()), r["line"]) for r in found.collect()}
+    assert whole["project", "App"] == (7, [("read", 3), ("write", 1), ("else", 1), ("odd", 2)], 0)
+    assert whole["file", "p1"] == (2, [("odd", 2)], 1)
+    # A key of more rows than one task takes is spread, with the same result.
+    assert sorted(map(str, usage.grouped_usage(refs, dims, hot=2).collect())) == sorted(map(str, found.collect()))
