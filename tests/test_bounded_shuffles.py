@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from factspan.operators import spans, usage
+from factspan.operators import budget, spans, usage
 
 
 def _plan(df):
@@ -31,3 +31,15 @@ def test_usage_rows_are_counted_before_they_go_through_the_last_exchange(spark):
     assert whole["file", "p1"] == (2, [("odd", 2)], 1)
     # A key of more rows than one task takes is spread, with the same result.
     assert sorted(map(str, usage.grouped_usage(refs, dims, hot=2).collect())) == sorted(map(str, found.collect()))
+
+
+def test_texts_stream_by_the_places_asked_for(spark):
+    """Texts were sorted, and met every target that asks for the same symbol."""
+    targets = spark.createDataFrame([("t1", "s"), ("t2", "s"), ("t2", "s"), ("t3", "gone"), ("t4", None)], "target_id string, symbol_id string")
+    decls = spark.createDataFrame([("s", "a.cs", 2, 3, False)], "symbol_id string, path string, line int, end_line int, is_metadata boolean")
+    docs = spark.createDataFrame([("a.cs", "one\ntwo\nthree\nfour")], "path string, text string")
+    found = budget.source_slices(targets, decls, docs, 40, 100)
+    assert "ShuffledHashJoin" in _plan(found)
+    got = sorted((r["target_id"], r["lines"], r["status"]) for r in found.collect())
+    none = "source-location-not-found"
+    assert got == [("t1", ["two", "three"], "ok"), ("t2", ["two", "three"], "ok"), ("t2", ["two", "three"], "ok"), ("t3", None, none), ("t4", None, none)]
