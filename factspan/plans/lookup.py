@@ -72,8 +72,13 @@ def usage_heads(calls: DataFrame, other: str, limit: int) -> DataFrame:
 def related(
     chosen: DataFrame, decls: DataFrame, references: DataFrame, call_edges: DataFrame, type_edges: DataFrame,
     include=("declarations", "references", "callers", "calls", "implementations", "hierarchy"), impact_levels: bool = False, limit: int | None = None,
+    known: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """Files related to each target; with ``impact_levels`` each file is direct or indirect."""
+    """Files related to each target; with ``impact_levels`` each file is direct or indirect.
+
+    ``known`` holds the parts of ``include`` that the caller has found already, as their operators return them.
+    """
+    known = known or {}
     direct = True if impact_levels else None
     indirect = False if impact_levels else None
     placed = chosen.select("target_id", "symbol_id").join(decls, "symbol_id")
@@ -83,17 +88,20 @@ def related(
     if "declarations" in include:
         parts.append(usage.file_evidence(placed, "declares-selected-symbol", direct))
     if "references" in include:
-        parts.append(usage.file_evidence(usage.references_of(chosen, references), "references-selected-symbol", direct))
+        refs = known["references"] if "references" in known else usage.references_of(chosen, references)
+        parts.append(usage.file_evidence(refs, "references-selected-symbol", direct))
     if "callers" in include:
-        parts.append(usage.file_evidence(graph.callers_of(callable_, call_edges, type_edges), "caller-of-selected-member", direct))
+        callers = known["callers"] if "callers" in known else graph.callers_of(callable_, call_edges, type_edges)
+        parts.append(usage.file_evidence(callers, "caller-of-selected-member", direct))
     if "calls" in include:
-        callees = graph.calls_of(callable_, call_edges).select("target_id", F.col("callee_id").alias("symbol_id")).distinct()
+        calls = known["calls"] if "calls" in known else graph.calls_of(callable_, call_edges)
+        callees = calls.select("target_id", F.col("callee_id").alias("symbol_id")).distinct()
         parts.append(usage.file_evidence(callees.join(places, "symbol_id"), "callee-of-selected-member", indirect))
     if "implementations" in include:
-        found = graph.implementations_of(chosen, type_edges)
+        found = known["implementations"] if "implementations" in known else graph.implementations_of(chosen, type_edges)
         parts.append(usage.file_evidence(found.join(places, "symbol_id"), "implements-selected-symbol", indirect))
     if "hierarchy" in include:
-        found = graph.type_hierarchy(chosen, type_edges).filter(F.col("relation").isin("derived-type", "implementing-type"))
+        found = graph.type_hierarchy(chosen, type_edges, ("derived-type", "implementing-type"))
         parts.append(usage.file_evidence(found.join(places, "symbol_id"), "hierarchy-related-symbol", indirect))
     evidence = parts[0]
     for part in parts[1:]:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from factspan.operators import budget, spans, usage
+from factspan.operators import budget, graph, spans, usage
 
 
 def _plan(df):
@@ -43,3 +43,46 @@ def test_texts_stream_by_the_places_asked_for(spark):
     got = sorted((r["target_id"], r["lines"], r["status"]) for r in found.collect())
     none = "source-location-not-found"
     assert got == [("t1", ["two", "three"], "ok"), ("t2", ["two", "three"], "ok"), ("t2", ["two", "three"], "ok"), ("t3", None, none), ("t4", None, none)]
+
+
+def test_evidence_goes_through_one_exchange_before_files_are_cut(spark):
+    """Evidence went through one exchange by place, one by file and one by target, and files once more for their number."""
+    rows = [(f"t{i % 2}", f"p{i % 5}", i % 7, 1, i % 7, 2, reason, i % 3 == 0) for i in range(40) for reason in usage.FILE_REASONS[i % 3 : i % 3 + 2]]
+    place = "path string, line int, `column` int, end_line int, end_column int"
+    evidence = spark.createDataFrame([*rows, (None, "p1", 1, 1, 1, 2, usage.FILE_REASONS[0], True)], f"target_id string, {place}, reason string, direct boolean")
+    ordered = lambda df: sorted(str(r.asDict(True)) for r in df.collect())
+    got = usage.related_files(evidence, 3)
+    assert {(r["target_id"], r["position"], r["total"], r["truncated"]) for r in got.collect()} == {(f"t{i}", n, 5, True) for i in range(2) for n in (1, 2, 3)}
+    assert ordered(usage.related_files(evidence, 3, hot=4)) == ordered(got)
+    plan = _plan(got)
+    # By target and part, by target; the hash buckets are counted beside.
+    assert plan.split("Subqueries")[0].count("Exchange hashpartitioning(target_id") == 2 and "hashpartitioning(path" not in plan
+
+
+def test_a_round_of_a_walk_writes_only_what_it_found(spark, monkeypatch):
+    """Every round wrote the whole state."""
+    written = []
+
+    def cut(df):
+        df = cut_lineage(df)
+        written.append(df.count() if "depth" in df.columns else 0)
+        return df
+
+    cut_lineage = graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", cut)
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(6)], "s string, d string")
+    seeds = spark.createDataFrame([("a", "n0"), ("a", "n6"), ("b", "n4"), ("c", "n6")], "target_id string, node string")
+    found = {(r["target_id"], r["node"]): r["depth"] for r in graph.closure(edges, seeds, "s", "d").collect()}
+    # Seeds are left out, also those that another seed reaches; a lone seed that no edge leaves is not walked.
+    assert found == {("a", f"n{i}"): i for i in range(1, 6)} | {("b", "n5"): 1, ("b", "n6"): 2}
+    assert sum(written) == len(found) + 3
+
+
+def test_only_asked_relations_of_a_hierarchy_are_walked(spark):
+    edges = spark.createDataFrame([("B", "A", "base"), ("C", "B", "base"), ("A", "I", "interface"), ("M", "N", "override")], "child_id string, parent_id string, edge_kind string")
+    targets = spark.createDataFrame([(x, x) for x in "ABIMN"], "target_id string, symbol_id string")
+    asked = ("derived-type", "implementing-type")
+    whole = graph.type_hierarchy(targets, edges).filter(F.col("relation").isin(*asked))
+    some = graph.type_hierarchy(targets, edges, asked)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(some) == rows(whole) and len(rows(some)) == 6
