@@ -50,3 +50,30 @@ def test_copies_of_a_diagnostic_are_merged_before_they_meet_the_targets(spark):
     assert items.groupBy("pack_id", "item_id").count().agg(F.max("count")).first()[0] == 1
     plan = items._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [path" in plan[plan.index("Join Inner, (path"):]
+
+
+def _several_files(spark):
+    """The facts with two files for each target, both crowded, one of them also the file of a declaration."""
+    diags = _diags(9) + [("P", "Error", "CS1", f"m{i % 2}", "b.cs", i, 2, i, 3) for i in range(20)]
+    chosen, decls, refs, calls, types, diags = _facts(spark, diags)
+    more = spark.createDataFrame([("S1", "read", "P", "b.cs", 40, 1, 40, 5), ("S1", "read", "P", "none.cs", 1, 1, 1, 5)], refs.schema)
+    return chosen, decls, refs.unionByName(more), calls, types, diags
+
+
+def _pack_rows(pack):
+    return {part: sorted((str(r.asDict(True)) for r in pack[part].collect())) for part in ("items", "sections", "summary")}
+
+
+def test_only_the_first_files_of_a_target_give_a_pack_diagnostics(spark):
+    """Every file in scope gave its first diagnostics to every target."""
+    facts = _several_files(spark)
+    docs = spark.createDataFrame([("a.cs", "x\ny\nz"), ("b.cs", "u\nv")], "path string, text string")
+    cut = context.query_items(*facts, 6)
+    rows = cut.filter("kind = 'diagnostic'").groupBy("pack_id", "path").agg(F.count("*").alias("n"), F.sum("left_out").alias("left_out")).collect()
+    assert {(r["pack_id"], r["path"]): (r["n"], r["left_out"]) for r in rows} == {
+        ("S1", "a.cs"): (1, 0), ("S1", "b.cs"): (7, 13 + 10), ("S2", "b.cs"): (7, 13 + 10)
+    }
+    whole = _pack_rows(context.context_pack(context.query_items(*facts), docs, "modify", budget_tokens=900, item_limit=6))
+    assert _pack_rows(context.context_pack(cut, docs, "modify", budget_tokens=900, item_limit=6)) == whole
+    # Large packs are dealt over several tasks.
+    assert _pack_rows(context.context_pack(cut, docs, "modify", budget_tokens=900, item_limit=6, hot=2)) == whole
