@@ -86,3 +86,22 @@ def test_only_asked_relations_of_a_hierarchy_are_walked(spark):
     some = graph.type_hierarchy(targets, edges, asked)
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     assert rows(some) == rows(whole) and len(rows(some)) == 6
+
+
+def test_hits_of_a_symbol_go_through_one_exchange(spark):
+    """Hits went through four exchanges: for distinct lines, first lines, totals and kinds."""
+    rows = [(f"c{i % 2}", f"S{i % 3}", "a.cs", ("body", "type-body")[i // 7 % 2], i // 2) for i in range(60)] * 2 + [(None, "S1", "a.cs", "body", 1)]
+    hits = spark.createDataFrame(rows, "change_id string, symbol_id string, path string, change_kind string, changed_line int")
+    want = {}
+    for c, s, _, k, n in rows[:-1]:
+        lines, kinds = want.setdefault((c, s), (set(), set()))
+        lines.add(n)
+        kinds.add(k)
+    for hot in (1 << 20, 3):
+        got = {(r["change_id"], r["symbol_id"]): r for r in spans.changed_symbol_rows(hits, 4, hot).collect()}
+        assert got.keys() == want.keys()
+        for key, (lines, kinds) in want.items():
+            assert got[key]["total_lines"] == len(lines) and got[key]["changed_lines"] == sorted(lines)[:4]
+            assert got[key]["change_kinds"] == sorted(kinds) and got[key]["lines_truncated"] == (len(lines) > 4)
+    plan = _plan(spans.changed_symbol_rows(hits, 4)).split("Subqueries")[0]
+    assert plan.count("Exchange hashpartitioning(change_id") == 2
